@@ -16,9 +16,9 @@ def failed() -> Column:
     return F.col("status_code") >= 500
 
 
-def rounded(df: DataFrame, *names: str) -> DataFrame:
+def rounded(df: DataFrame, *names: str, places: int = 4) -> DataFrame:
     """Round the named doubles so that summation order does not show."""
-    return df.withColumns({n: F.round(n, 4) for n in names})
+    return df.withColumns({n: F.round(n, places) for n in names})
 
 
 # Telemetry -----------------------------------------------------------------

@@ -27,6 +27,13 @@ FROM events""",
 SELECT user_id % 8 AS node, date_trunc('hour', ts) AS ts,
   least(100.0, avg(value)) AS gpu_utilization, count(*) AS queue_length
 FROM events GROUP BY user_id % 8, date_trunc('hour', ts)""",
+    "fleet": """
+SELECT ts, concat('p', cast(node % 3 AS varchar(10))) AS provider, count(*) * 2 AS gpu_node_count,
+  round(avg(util), 6) AS gpu_utilization, cast(sum(calls) * 4 AS bigint) AS queue_length,
+  cast(floor(max(util) * 15) AS bigint) AS latency_p95, round(sum(util) * 0.7, 6) AS cost_per_hour
+FROM (SELECT user_id % 8 AS node, date_trunc('hour', ts) AS ts, least(100.0, avg(value) * 1.4) AS util, count(*) AS calls
+  FROM events GROUP BY user_id % 8, date_trunc('hour', ts)) n
+GROUP BY ts, node % 3""",
     "cost_items": """
 SELECT l.l_shipdate AS ts, r.r_name AS provider, p.p_type AS service, p.p_brand AS model,
   l.l_extendedprice * (1 - l.l_discount) AS amount
