@@ -1,4 +1,9 @@
-from fleetgauge.plans import capacity_queries, resilience_queries, traffic_queries  # noqa: F401
+from fleetgauge.plans import (  # noqa: F401
+    capacity_queries,
+    cost_queries,
+    resilience_queries,
+    traffic_queries,
+)
 from fleetgauge.plans.registry import all_queries, all_sql
 
 __all__ = ["all_queries", "all_sql"]
