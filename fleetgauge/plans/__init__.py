@@ -1,5 +1,6 @@
 from fleetgauge.plans import (  # noqa: F401
     capacity_queries,
+    catalog_queries,
     cost_queries,
     resilience_queries,
     traffic_queries,
