@@ -2,6 +2,7 @@ from fleetgauge.plans import (  # noqa: F401
     capacity_queries,
     catalog_queries,
     cost_queries,
+    model_queries,
     resilience_queries,
     traffic_queries,
 )
