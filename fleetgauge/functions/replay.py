@@ -15,6 +15,7 @@ are long compared with the hold time.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -138,46 +139,71 @@ def hold_off(
     return _replay(data, keys, order, chunks, summarise, mark, (0, NEVER), 0, schema)
 
 
-def breaker(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    failed: str,
-    chunks: Chunks,
-    failure_threshold: int,
-    recovery_us: int,
-    half_open_max_calls: int,
-    reset_on_success: bool,
-) -> DataFrame:
-    """Circuit-breaker state around every call.
+@dataclass(frozen=True)
+class BreakerRule:
+    """Circuit-breaker transitions.
 
-    Returns keys, order, `failed` and state_before, rejected, state_after,
-    failure_count. Codes 0..T-1 are CLOSED with that many failures, T..T+H-1
-    HALF_OPEN with that many successes, T+H is OPEN until a time.
+    Codes 0..T-1 are CLOSED with that many failures, T..T+H-1 HALF_OPEN with that
+    many successes, T+H is OPEN until a time.
     """
-    cols = [*keys, *order, failed]
-    data = df.select(*cols)
-    schema = (
-        T.StructType([data.schema[c] for c in cols]).toDDL()
-        + ", state_before string, rejected boolean, state_after string, failure_count bigint"
-    )
-    closed, half = failure_threshold, half_open_max_calls
-    n_codes = closed + half
-
-    def after(code: int, fail: bool) -> int:
+
+    failure_threshold: int
+    recovery_us: int
+    half_open_max_calls: int
+    reset_on_success: bool = True
+
+    @property
+    def open(self) -> int:
+        return self.failure_threshold + self.half_open_max_calls
+
+    def after(self, code: int, fail: bool) -> int:
+        """State after a call that was let through."""
+        closed = self.failure_threshold
         if fail:
-            return code + 1 if code + 1 < closed else n_codes
+            return code + 1 if code + 1 < closed else self.open
         if code < closed:
-            return 0 if reset_on_success else code
-        return 0 if code + 1 >= n_codes else code + 1
+            return 0 if self.reset_on_success else code
+        return 0 if code + 1 >= self.open else code + 1
 
-    on_ok = [after(c, False) for c in range(n_codes)]
-    on_fail = [after(c, True) for c in range(n_codes)]
+    def name(self, code: int) -> str:
+        return "CLOSED" if code < self.failure_threshold else "HALF_OPEN" if code < self.open else "OPEN"
+
+    def walk(self, times: list[int], fails: list[bool], code: int, until: int) -> tuple[dict[str, list], int, int]:
+        """Outputs per call, and the state that is left, from a starting state."""
+        out: dict[str, list] = {"state_before": [], "rejected": [], "state_after": [], "failure_count": []}
+        for ts, fail in zip(times, fails, strict=True):
+            if code == self.open and ts >= until:
+                code = self.failure_threshold
+            out["state_before"].append(self.name(code))
+            out["rejected"].append(code == self.open)
+            if code != self.open:
+                code = self.after(code, fail)
+                if code == self.open:
+                    until = ts + self.recovery_us
+            out["state_after"].append(self.name(code))
+            out["failure_count"].append(min(code, self.failure_threshold))
+        return out, code, until
+
+
+BREAKER_COLUMNS = "state_before string, rejected boolean, state_after string, failure_count bigint"
+
+
+def breaker(df: DataFrame, keys: list[str], order: list[str], failed: str, chunks: Chunks, rule: BreakerRule) -> DataFrame:
+    """Circuit-breaker state around every call.
+
+    Returns keys, order, `failed` and state_before, rejected, state_after, failure_count.
+    """
+    cols = [*keys, *order, failed]
+    data = df.select(*cols)
+    schema = f"{T.StructType([data.schema[c] for c in cols]).toDDL()}, {BREAKER_COLUMNS}"
+    closed, n_codes = rule.failure_threshold, rule.open
+    on_ok = [rule.after(c, False) for c in range(n_codes)]
+    on_fail = [rule.after(c, True) for c in range(n_codes)]
 
     def summarise(pdf: pd.DataFrame) -> dict:
         ts, fail = pdf["__us"].to_numpy(), pdf[failed].to_numpy(dtype=bool)
         n = len(ts)
-        wake = _wake(ts, np.full(n, recovery_us))
+        wake = _wake(ts, np.full(n, rule.recovery_us))
         # Node (row, code) = row * n_codes + code; then one end node per code, then one per tripping row.
         end, trip = n * n_codes, n * n_codes + n_codes
         step = np.arange(trip + n)
@@ -188,35 +214,19 @@ def breaker(
             fail_to = tripped if on_fail[c] == n_codes else (rows + 1) * n_codes + on_fail[c]
             step[c:end:n_codes] = np.where(fail, fail_to, ok_to)
         ends = _follow(step)
-        until_of = np.concatenate([np.full(n_codes, NEVER), ts + recovery_us])
+        until_of = np.concatenate([np.full(n_codes, NEVER), ts + rule.recovery_us])
         code_of = np.concatenate([np.arange(n_codes), np.full(n, n_codes)])
         first = ends[:n_codes] - end
-        upto, at = _steps(ts, ends[closed:end:n_codes], recovery_us)
+        upto, at = _steps(ts, ends[closed:end:n_codes], rule.recovery_us)
         woken = ends[at * n_codes + closed] - end
         return {
             "discrete": code_of[first], "discrete_until": until_of[first],
             "upto": upto, "code": code_of[woken], "until": until_of[woken],
         }
 
-    def name(code: int) -> str:
-        return "CLOSED" if code < closed else "HALF_OPEN" if code < n_codes else "OPEN"
-
     def mark(pdf: pd.DataFrame, code: int, until: int) -> pd.DataFrame:
-        before, rejected, later, counts = [], [], [], []
-        for ts, fail in zip(pdf["__us"].tolist(), pdf[failed].tolist(), strict=True):
-            if code == n_codes and ts >= until:
-                code = closed
-            before.append(name(code))
-            rejected.append(code == n_codes)
-            if code != n_codes:
-                code = on_fail[code] if fail else on_ok[code]
-                if code == n_codes:
-                    until = ts + recovery_us
-            later.append(name(code))
-            counts.append(code if code < closed else closed)
-        return pdf[cols].assign(
-            state_before=before, rejected=rejected, state_after=later, failure_count=counts
-        )
+        out, _, _ = rule.walk(pdf["__us"].tolist(), pdf[failed].tolist(), code, until)
+        return pdf[cols].assign(**out)
 
     return _replay(data, keys, order, chunks, summarise, mark, (0, NEVER), n_codes, schema)
 

@@ -82,9 +82,12 @@ def train_model(
     task = ESTIMATORS[kind][0] if kind in ESTIMATORS else None
     pipeline = _estimator(kind, features, label, params or {}, seed)
     started = time.monotonic()
-    model = pipeline.fit(df)
+    # The learner and the metrics read the training columns many times.
+    data = df.select(*features, label).persist()
+    model = pipeline.fit(data)
     metrics = {"train_time_seconds": time.monotonic() - started}
-    metrics |= {f"train_{k}": v for k, v in evaluate(model.transform(df), task, label).items()}
+    metrics |= {f"train_{k}": v for k, v in evaluate(model.transform(data), task, label).items()}
+    data.unpersist()
     if eval_data is not None:
         metrics |= {f"val_{k}": v for k, v in evaluate(model.transform(eval_data), task, label).items()}
     if cv:
@@ -120,6 +123,7 @@ def cross_validate(
 ) -> dict[str, float]:
     """Mean and population standard deviation of the fold scores (accuracy or r2)."""
     task = ESTIMATORS[kind][0]
+    df = df.select(key, *features, label)
     if task == "classification":
         folded = fold_column(df, label, key, folds)
         scorer = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
@@ -127,9 +131,11 @@ def cross_validate(
         folded = df.withColumn("fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int"))
         scorer = RegressionEvaluator(labelCol=label, metricName="r2")
     pipeline = _estimator(kind, features, label, params or {}, seed)
+    folded = folded.drop(key).persist()
     fitted = CrossValidator(
         estimator=pipeline, estimatorParamMaps=[{}], evaluator=scorer, numFolds=folds, foldCol="fold", parallelism=2
     ).fit(folded)
+    folded.unpersist()
     return {"mean": float(fitted.avgMetrics[0]), "std": float(fitted.stdMetrics[0])}
 
 

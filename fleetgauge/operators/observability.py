@@ -39,14 +39,19 @@ def log_count(df: DataFrame, **filters) -> DataFrame:
     return log_filter(df, **filters).agg(F.count(F.lit(1)).alias("logs"))
 
 
+def pair_columns(df: DataFrame) -> DataFrame:
+    """Add `duration_ms` and `pairing` to rows with request_ts and response_ts."""
+    took = (micros("response_ts") - micros("request_ts")) / F.lit(1e3)
+    state = F.when(F.col("response_ts").isNull(), "no_response").when(F.col("request_ts").isNull(), "no_request").otherwise("paired")
+    return df.withColumn("duration_ms", took).withColumn("pairing", state)
+
+
 def request_response_join(requests: DataFrame, responses: DataFrame, key: str = "request_id") -> DataFrame:
     """Pair request and response records; the unpaired of both sides stay.
 
     requests: key, request_ts; responses: key, response_ts, status_code.
     """
-    took = (micros("response_ts") - micros("request_ts")) / F.lit(1e3)
-    state = F.when(F.col("response_ts").isNull(), "no_response").when(F.col("request_ts").isNull(), "no_request").otherwise("paired")
-    return requests.join(responses, key, "full_outer").withColumn("duration_ms", took).withColumn("pairing", state)
+    return pair_columns(requests.join(responses, key, "full_outer"))
 
 
 def error_summary(df: DataFrame, endpoint: str, method: str, error_type: str, code: str, duration: str) -> DataFrame:

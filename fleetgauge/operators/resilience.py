@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge.functions.chunks import CHUNK, Chunks, following, plan_chunks, prefix
 from fleetgauge.functions.common import interval, micros, same_keys
-from fleetgauge.functions.replay import breaker, hold_off, map_batches
+from fleetgauge.functions.replay import BreakerRule, breaker, hold_off, map_batches
 
 
 def circuit_breaker(
@@ -23,10 +23,8 @@ def circuit_breaker(
     `reset_on_success=False` keeps counting failures over successes in the CLOSED state.
     """
     data = df.select(*keys, *order, F.coalesce(failed, F.lit(False)).alias("failed"))
-    return breaker(
-        data, keys, order, "failed", chunks or plan_chunks(df, order[0]),
-        failure_threshold, int(recovery_timeout * 1_000_000), half_open_max_calls, reset_on_success,
-    )
+    rule = BreakerRule(failure_threshold, int(recovery_timeout * 1_000_000), half_open_max_calls, reset_on_success)
+    return breaker(data, keys, order, "failed", chunks or plan_chunks(df, order[0]), rule)
 
 
 def breaker_status(

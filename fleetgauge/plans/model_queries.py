@@ -76,17 +76,31 @@ def _hot(column: str, names: list[str], source: str) -> str:
     return ", ".join(f"""CASE WHEN {source} = '{n}' THEN 1.0 ELSE 0.0 END::DOUBLE AS "{column}_{n}\"""" for n in names)
 
 
-@query("infer_feature_types", "", "SELECT column_name AS name, CASE WHEN data_type = 'VARCHAR' THEN 'categorical' "
-       "WHEN data_type IN ('INTEGER', 'BIGINT', 'DOUBLE') THEN 'numeric' ELSE 'other' END AS kind FROM "
-       "information_schema.columns WHERE table_name IN ('orders', 'lineitem', 'customer')")
+_KINDS = {
+    "orders": {"o_orderkey": "numeric", "o_custkey": "numeric", "o_orderstatus": "categorical", "o_totalprice": "numeric",
+               "o_orderdate": "other", "o_orderpriority": "categorical"},
+    "customer": {"c_custkey": "numeric", "c_name": "categorical", "c_nationkey": "numeric", "c_acctbal": "numeric",
+                 "c_mktsegment": "categorical"},
+}
+
+
+@query("infer_feature_types", "", " UNION ALL ".join(
+    f"SELECT '{c}' AS name, '{k}' AS kind, count({c}) AS known, count(DISTINCT {c}) AS distinct_values FROM {t}"
+    for t, kinds in _KINDS.items() for c, k in kinds.items()
+))
 def _(v: Views) -> DataFrame:
+    """Kind of every column beside how many known and distinct values it has."""
     out = None
-    for name in ("orders", "lineitem", "customer"):
+    for name in _KINDS:
         df = v.table(name)
         numeric, categorical = features.infer_feature_types(df)
         kinds = {**{c: "numeric" for c in numeric}, **{c: "categorical" for c in categorical}}
-        rows = F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.lit(kinds.get(c, "other")).alias("kind")) for c in df.columns]))
-        one = df.agg(F.count(F.lit(1))).select(rows)
+        counts = df.agg(*[F.count(c).alias(c) for c in df.columns], *[F.count_distinct(c).alias(f"{c}__d") for c in df.columns])
+        rows = F.inline(F.array(*[
+            F.struct(F.lit(c).alias("name"), F.lit(kinds.get(c, "other")).alias("kind"), F.col(c).alias("known"),
+                     F.col(f"{c}__d").alias("distinct_values")) for c in df.columns
+        ]))
+        one = counts.select(rows)
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -220,7 +234,7 @@ def _(v: Views) -> DataFrame:
 
 @query("cross_validate")
 def _(v: Views) -> DataFrame:
-    scores = models.cross_validate(_doc_frame(v), _DOC_FEATURES, "label", "logistic_regression", "doc_id", folds=5)
+    scores = models.cross_validate(_doc_frame(v), _DOC_FEATURES, "label", "logistic_regression", "doc_id", folds=5, params={"maxIter": 20})
     return _metric_rows(v, scores)
 
 
