@@ -176,8 +176,8 @@ def infra_metrics(
 
 def metric_timeseries(df: DataFrame, labels: list[str], value: str, order: list[str], width: str) -> DataFrame:
     """One sample per interval and label set: count, mean and last value."""
-    return df.groupBy(F.window(order[0], width).start.alias("window_start"), *labels).agg(
+    return df.groupBy(F.window(order[0], width).alias("__w"), *labels).agg(
         F.count(F.lit(1)).alias("samples"),
         F.avg(value).alias("mean_value"),
         _newest(order, value=value).getField("value").alias("last_value"),
-    )
+    ).select(F.col("__w.start").alias("window_start"), *labels, "samples", "mean_value", "last_value")

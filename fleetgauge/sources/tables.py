@@ -62,15 +62,18 @@ def read_many_csv(spark: SparkSession, pattern: str, schema: T.StructType | str,
         .select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"))
     )
     good = raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    # Every column is looked at, or the reader would skip the cells that do not fit.
+    cells = sum((F.col(f"`{f.name}`").isNotNull().cast("bigint") for f in kinds.fields), F.lit(0).cast("bigint"))
     seen = raw.groupBy("file_path").agg(
-        F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col(CORRUPT).isNotNull(), 1)).alias("bad_rows")
+        F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col(CORRUPT).isNotNull(), 1)).alias("bad_rows"),
+        F.sum(cells).alias("known_cells"),
     )
-    # Only names and lengths are read here, not the contents.
-    files = spark.read.format("binaryFile").load(pattern).select(
-        F.col("_metadata.file_path").alias("file_path"), F.col("length")
+    # The reader has listed the files already; empty ones appear in the list only.
+    files = spark.createDataFrame([(p,) for p in raw.inputFiles()], "file_path string").select(
+        F.regexp_replace("file_path", "^file:/+", "file:/").alias("file_path")
     )
     bad = files.join(seen, "file_path", "left").where(F.col("rows").isNull() | (F.col("bad_rows") > 0))
-    return good, bad.select("file_path", "length", F.coalesce("bad_rows", F.lit(0)).alias("bad_rows"))
+    return good, bad.select("file_path", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("rows", "bad_rows", "known_cells")])
 
 
 def read_by_extension(spark: SparkSession, path: str, **options) -> DataFrame:

@@ -31,12 +31,15 @@ def timeseries_stream(df: DataFrame, labels: list[str], value: str, order: list[
 
 
 def debounce_stream(df: DataFrame, keys: list[str], order: list[str], wait_time: float, delay: str, keep: list[str] = ()) -> DataFrame:
-    """Last event of every burst: a session closes after `wait_time` seconds without an event."""
+    """Last event of every burst: a session closes after `wait_time` seconds without an event.
+
+    Sessions that touch are merged, so the gap is one microsecond short of the wait.
+    """
     ts = order[0]
-    session = F.session_window(F.col(ts), f"{int(wait_time * 1000)} milliseconds")
+    session = F.session_window(F.col(ts), f"{int(wait_time * 1_000_000) - 1} microseconds")
     last = F.max(F.struct(*[F.col(o) for o in order], *[F.col(c) for c in keep]))
     return event_time(df, ts, delay).groupBy(session, *keys).agg(last.alias("__last")).select(
-        *keys, *[F.col(f"__last.{c}").alias(c) for c in (*order, *keep)], F.col("session_window.end").alias("emitted_ts")
+        *keys, *[F.col(f"__last.{c}").alias(c) for c in (*order, *keep)], (F.col(f"__last.{ts}") + interval(wait_time)).alias("emitted_ts")
     )
 
 
