@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from fleetgauge.functions.common import col, micros, same_keys
 
 CHUNK = "__chunk"
+CHUNKS_PER_CORE = 2
 MAX_CHUNKS = 8192
 
 
@@ -55,7 +56,7 @@ def plan_chunks(df: DataFrame, by: str, n: int | None = None) -> Chunks:
     it returns at most `n` numbers. By default there are a few chunks per core.
     """
     if n is None:
-        n = min(MAX_CHUNKS, 4 * df.sparkSession.sparkContext.defaultParallelism)
+        n = min(MAX_CHUNKS, CHUNKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
     if n <= 1:
         return Chunks(by)
     probs = [i / n for i in range(1, n)]
@@ -135,38 +136,54 @@ def following(df: DataFrame, keys: list[str], order: list[str], chunks: Chunks,
 
 
 def streak(df: DataFrame, keys: list[str], order: list[str], chunks: Chunks, flag: Column, out: str) -> DataFrame:
-    """Length of the unbroken run of `flag` that ends on each row (0 where it is false)."""
-    hit = F.coalesce(flag, F.lit(False))
-    counted = prefix(
-        df.withColumn("__hit", hit), keys, order, chunks,
-        {"__hits": ("sum", F.when(F.col("__hit"), 1).otherwise(0).cast("bigint"))},
+    """Length of the unbroken run of `flag` that ends on each row (0 where it is false).
+
+    Within a chunk it is the count of hits less the count at the last miss. A
+    chunk that has had no miss so far adds the run it was entered with.
+    """
+    parts = [*keys, CHUNK]
+    w = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    one = F.when(F.col("__hit"), 1).otherwise(0).cast("bigint")
+    local = (
+        chunks.tag(df.withColumn("__hit", F.coalesce(flag, F.lit(False))))
+        .withColumn("__hits", F.sum(one).over(w))
+        .withColumn("__base", F.max(F.when(~F.col("__hit"), F.col("__hits"))).over(w))
     )
-    based = prefix(counted, keys, order, chunks, {"__base": ("max", F.when(~F.col("__hit"), F.col("__hits")))})
-    return based.withColumn(out, F.col("__hits") - F.coalesce(F.col("__base"), F.lit(0))).drop(
-        "__hit", "__hits", "__base"
+    if not chunks.splits:
+        run = F.col("__hits") - F.coalesce(F.col("__base"), F.lit(0))
+        return local.withColumn(out, run).drop("__hit", "__hits", "__base", CHUNK)
+    by_chunk = Window.partitionBy(*keys).orderBy(CHUNK)
+    tails = (
+        local.groupBy(*parts).agg(F.max("__hits").alias("__all"), F.max("__base").alias("__last"))
+        .withColumn("__group", F.count("__last").over(by_chunk))
+        .withColumn("__run", F.sum(F.col("__all") - F.coalesce("__last", F.lit(0))).over(
+            Window.partitionBy(*keys, "__group").orderBy(CHUNK)))
+        .select(*parts, F.lag("__run", 1, 0).over(by_chunk).alias("__entry"))
     )
+    run = F.col("__hits") - F.coalesce(F.col("__base"), -F.col("__entry"))
+    return same_keys(local, tails, parts).withColumn(out, run).drop("__hit", "__hits", "__base", "__entry", CHUNK)
 
 
-def runs(
-    df: DataFrame, keys: list[str], order: list[str], chunks: Chunks, flag: Column, aggs: list[Column] = ()
-) -> DataFrame:
-    """One row per maximal run of `flag`: run_start, run_end, run_length and `aggs`.
+def runs(df: DataFrame, keys: list[str], order: list[str], chunks: Chunks, flag: Column) -> DataFrame:
+    """One row per maximal run of `flag`: run_start, run_end, run_length and run_stop.
 
-    The last row before a run on which the flag was false names the run, so the
-    runs themselves are a plain grouping with map-side combine.
+    Rows are grouped by the last miss before them. Such a group is one run and
+    the miss that ends it, so run_stop, the time of that miss, is null for a run
+    that is still going on. The grouping combines map-side, whatever the length
+    of a run.
     """
     ts = order[0]
-    marked = df.withColumn("__hit", F.coalesce(flag, F.lit(False)))
-    anchor = F.when(~F.col("__hit"), F.struct(*[F.col(o) for o in order]))
-    named = prefix(marked, keys, order, chunks, {"__anchor": ("max", anchor)})
+    marked = df.select(*keys, *order, F.coalesce(flag, F.lit(False)).alias("__hit"))
+    miss = F.when(~F.col("__hit"), F.struct(*[F.col(o) for o in order]))
+    named = prefix(marked, keys, order, chunks, {"__anchor": ("max", miss)}, exclusive=True)
+    hit = F.when(F.col("__hit"), F.col(ts))
     return (
-        named.where("__hit")
-        .groupBy(*keys, "__anchor")
+        named.groupBy(*keys, "__anchor")
         .agg(
-            F.min(ts).alias("run_start"), F.max(ts).alias("run_end"),
-            F.count(F.lit(1)).alias("run_length"), *aggs,
+            F.min(hit).alias("run_start"), F.max(hit).alias("run_end"), F.count(hit).alias("run_length"),
+            F.min(F.when(~F.col("__hit"), F.col(ts))).alias("run_stop"),
         )
-        .drop("__anchor")
+        .where("run_length > 0").drop("__anchor")
     )
 
 
@@ -210,19 +227,22 @@ def exact_percentiles(
         .select(*keys, CHUNK, "__from", F.col("__pt.name").alias("__name"), "__at", "__lo", "__hi")
     )
     parts = [*keys, CHUNK]
-    needed = ranks.select(*parts).distinct()
     cum = Window.partitionBy(*parts).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     ordered = (
-        same_keys(tagged, needed, parts, "left_semi")
+        same_keys(tagged, ranks.select(*parts), parts, "left_semi")
         .groupBy(*parts, "__v").agg(F.count(F.lit(1)).alias("__n"))
         .withColumn("__end", F.sum("__n").over(cum))
     )
     hit = same_keys(ordered, ranks, parts, "inner").withColumn("__stop", F.col("__from") + F.col("__end"))
     hit = hit.withColumn("__start", F.col("__stop") - F.col("__n"))
-    low = F.max(F.when((F.col("__lo") >= F.col("__start")) & (F.col("__lo") < F.col("__stop")), F.col("__v")))
-    high = F.max(F.when((F.col("__hi") >= F.col("__start")) & (F.col("__hi") < F.col("__stop")), F.col("__v")))
-    part = F.max("__at") - F.max("__lo")
-    each = hit.groupBy(*keys, "__name").agg((low + (high - low) * part).alias("__q"))
-    return each.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("__name") == n, F.col("__q"))).alias(n) for n in wanted]
-    )
+
+    def at_rank(name: str, rank: str) -> Column:
+        inside = (F.col("__name") == name) & (F.col(rank) >= F.col("__start")) & (F.col(rank) < F.col("__stop"))
+        return F.max(F.when(inside, F.col("__v")))
+
+    def interpolated(name: str) -> Column:
+        low, high = at_rank(name, "__lo"), at_rank(name, "__hi")
+        part = F.max(F.when(F.col("__name") == name, F.col("__at") - F.col("__lo")))
+        return (low + (high - low) * part).alias(name)
+
+    return hit.groupBy(*keys).agg(*[interpolated(n) for n in wanted])

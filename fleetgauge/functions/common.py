@@ -57,12 +57,15 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "le
 
 
 def with_total(df: DataFrame, total: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row.
+    """Attach the columns of a one-row aggregate to every row, as an uncorrelated scalar subquery.
 
-    `total` must be an ungrouped aggregate, so it is one row by construction and
-    safe to broadcast whatever the size of `df`.
+    The subquery runs once and its row becomes a constant of the plan, so `df`
+    is neither joined nor shuffled.
     """
-    return df.join(F.broadcast(total), F.lit(True))
+    row = total.select(F.struct(*[F.col(f"`{c}`") for c in total.columns]).alias("__total_row")).scalar()
+    return df.withColumn("__total_row", row).select("*", *[
+        F.col("__total_row").getField(c).alias(c) for c in total.columns
+    ]).drop("__total_row")
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,7 @@ SENSITIVE_WORDS = (
 )
 
 
+@lru_cache(maxsize=4096)
 def is_sensitive(key: str) -> bool:
     return any(word in key.lower() for word in SENSITIVE_WORDS)
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetgauge.functions.chunks import Chunks, plan_chunks, prefix, runs
+from fleetgauge.functions.chunks import Chunks, plan_chunks, runs
 from fleetgauge.functions.common import interval, micros, with_total
 
 AUTO_CLOSE_SECONDS = 604800.0
@@ -43,12 +43,8 @@ def alert_for_duration(
     under the bound, or after `auto_close` seconds; null while still active.
     """
     ts = order[0]
-    data = df.select(*keys, *order, (F.col(rule.metric) > rule.bound).alias("__breach"))
-    chunks = chunks or plan_chunks(df, ts)
-    calm = F.when(~F.col("__breach"), F.struct(*[F.col(o) for o in order]))
-    ended = prefix(data, keys, order, chunks, {"__calm": ("min", calm)}, reverse=True)
-    found = runs(ended, keys, order, chunks, F.col("__breach"), [F.min("__calm").alias("__end")])
-    resolved = F.col(f"__end.{ts}")
+    found = runs(df, keys, order, chunks or plan_chunks(df, ts), F.col(rule.metric) > rule.bound)
+    resolved = F.col("run_stop")
     if auto_close is not None:
         newest = df.agg(F.max(ts).alias("__now"))
         found = with_total(found, newest)

@@ -28,14 +28,18 @@ def provider_error_rate(df: DataFrame, failed: Column, provider: str = "provider
     )
 
 
+def _recent_means(df: DataFrame, failed: Column, order: list[str], latency: str, provider: str, n: int) -> DataFrame:
+    recent = latest_n(df.where(~failed).select(provider, *order, latency), [provider], order, n)
+    return recent.groupBy(provider).agg(F.avg(latency).alias("avg_latency"))
+
+
 def provider_recent_latency(
     df: DataFrame, failed: Column, order: list[str], latency: str, provider: str = "provider", n: int = RECENT_CALLS
 ) -> DataFrame:
     """Mean latency of the last `n` successful calls per provider; 0 for a provider with none."""
-    recent = latest_n(df.where(~failed).select(provider, *order, latency), [provider], order, n)
-    means = recent.groupBy(provider).agg(F.avg(latency).alias("__mean"))
+    means = _recent_means(df, failed, order, latency, provider, n)
     return same_keys(df.select(provider).distinct(), means, [provider]).select(
-        provider, F.coalesce("__mean", F.lit(0.0)).alias("avg_latency")
+        provider, F.coalesce("avg_latency", F.lit(0.0)).alias("avg_latency")
     )
 
 
@@ -156,12 +160,10 @@ def gateway_metrics(
     """
     since = df if reset_ts is None else df.where(F.col(order[0]) >= F.lit(reset_ts).cast(df.schema[order[0]].dataType))
     rates = provider_error_rate(since, failed, provider)
-    share = provider_share(since, provider).drop("requests")
-    recent = provider_recent_latency(since, failed, order, latency, provider)
+    rates = with_total(rates, since.agg(F.count(F.lit(1)).alias("__all"))).withColumn("share_pct", percent("requests", "__all"))
+    recent = _recent_means(since, failed, order, latency, provider, RECENT_CALLS)
     health = health_now(df, [provider], order, failed)
-    out = same_keys(health, rates, [provider])
-    for part in (share, recent):
-        out = same_keys(out, part, [provider])
+    out = same_keys(same_keys(health, rates, [provider]), recent, [provider])
     return out.select(
         provider,
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("requests", "errors")],
