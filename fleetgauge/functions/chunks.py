@@ -67,12 +67,6 @@ def plan_chunks(df: DataFrame, by: str, n: int | None = None) -> Chunks:
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def _combined(kind: str, local: Column, carry: Column) -> Column:
-    if kind == "sum":
-        return F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0))
-    return F.greatest(local, carry) if kind == "max" else F.least(local, carry)
-
-
 def prefix(
     df: DataFrame,
     keys: list[str],
@@ -89,32 +83,31 @@ def prefix(
     exclusive  leave the current row out
     reverse    run from the last row backwards
     `order` must start with the chunked column and be a total order per key.
+
+    What earlier chunks add up to enters each chunk as a seed row ahead of its
+    first row, so the rows are shuffled once, by key and chunk, and never joined.
     """
-    tagged = chunks.tag(df)
     parts = [*keys, CHUNK]
+    data = chunks.tag(df).withColumn("__seed", F.lit(False))
+    for name, (_, c) in scans.items():
+        data = data.withColumn(f"__in_{name}", c)
+    if chunks.splits:
+        chunk_order = F.col(CHUNK).desc() if reverse else F.col(CHUNK).asc()
+        before = Window.partitionBy(*keys).orderBy(chunk_order).rowsBetween(Window.unboundedPreceding, -1)
+        sums = data.groupBy(*parts).agg(*[_AGG[k](f"__in_{n}").alias(f"__in_{n}") for n, (k, _) in scans.items()])
+        seeds = sums.select(
+            *parts, F.lit(True).alias("__seed"),
+            *[_AGG[k](f"__in_{n}").over(before).alias(f"__in_{n}") for n, (k, _) in scans.items()],
+        )
+        data = data.unionByName(seeds, allowMissingColumns=True)
     ordering = [F.col(o).desc() if reverse else F.col(o).asc() for o in order]
-    local_w = Window.partitionBy(*parts).orderBy(*ordering).rowsBetween(
+    w = Window.partitionBy(*parts).orderBy(F.col("__seed").desc(), *ordering).rowsBetween(
         Window.unboundedPreceding, -1 if exclusive else 0
     )
-    local = tagged
-    for name, (kind, c) in scans.items():
-        local = local.withColumn(name, _AGG[kind](c).over(local_w))
-    if not chunks.splits:
-        for name, (kind, _) in scans.items():
-            if kind == "sum":
-                local = local.withColumn(name, F.coalesce(F.col(name), F.lit(0)))
-        return local.drop(CHUNK)
-
-    sums = tagged.groupBy(*parts).agg(*[_AGG[k](c).alias(n) for n, (k, c) in scans.items()])
-    chunk_order = F.col(CHUNK).desc() if reverse else F.col(CHUNK).asc()
-    carry_w = Window.partitionBy(*keys).orderBy(chunk_order).rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select(
-        *parts, *[_AGG[k](F.col(n)).over(carry_w).alias(f"__c_{n}") for n, (k, _) in scans.items()]
-    )
-    joined = same_keys(local, carry, parts)
     for name, (kind, _) in scans.items():
-        joined = joined.withColumn(name, _combined(kind, F.col(name), F.col(f"__c_{name}"))).drop(f"__c_{name}")
-    return joined.drop(CHUNK)
+        running = _AGG[kind](f"__in_{name}").over(w)
+        data = data.withColumn(name, F.coalesce(running, F.lit(0)) if kind == "sum" else running)
+    return data.where(~F.col("__seed")).drop("__seed", CHUNK, *[f"__in_{n}" for n in scans])
 
 
 def previous(df: DataFrame, keys: list[str], order: list[str], chunks: Chunks, cols: dict[str, str]) -> DataFrame:

@@ -34,7 +34,7 @@ def cost_report(df: DataFrame, timeframe: str, tag: Column | None = None, now: C
     days = TIMEFRAME_DAYS.get(timeframe, 7)
     data = df if tag is None else df.where(tag)
     if now is None:
-        data = with_total(data, _newest(data, "ts"))
+        data = with_total(data, _newest(df, "ts"))
         now = F.col("__now")
     recent = data.where((F.col("ts") > now - interval(days * 86400)) & (F.col("ts") <= now))
     period = F.date_trunc(TIMEFRAME_PERIOD.get(timeframe, "day"), F.col("ts")).cast("timestamp_ntz")
