@@ -38,15 +38,14 @@ class Chunks:
     by: str
     splits: tuple[float, ...] = ()
 
-    def tag(self, df: DataFrame, by: Column | None = None, out: str = CHUNK) -> DataFrame:
-        """Add the chunk number of every row (of `by` instead of the column, if given)."""
+    def tag(self, df: DataFrame) -> DataFrame:
+        """Add the chunk number of every row."""
         if not self.splits:
-            return df.withColumn(out, F.lit(0))
-        pos = _position(df, self.by) if by is None else by
+            return df.withColumn(CHUNK, F.lit(0))
         edges = [float("-inf"), *self.splits, float("inf")]
         cutter = Bucketizer(splits=edges, inputCol="__pos", outputCol="__cut", handleInvalid="keep")
-        tagged = cutter.transform(df.withColumn("__pos", pos))
-        return tagged.withColumn(out, F.col("__cut").cast("int")).drop("__pos", "__cut")
+        tagged = cutter.transform(df.withColumn("__pos", _position(df, self.by)))
+        return tagged.withColumn(CHUNK, F.col("__cut").cast("int")).drop("__pos", "__cut")
 
 
 def plan_chunks(df: DataFrame, by: str, n: int | None = None) -> Chunks:

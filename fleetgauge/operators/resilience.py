@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.functions.chunks import CHUNK, Chunks, following, plan_chunks, prefix
+from fleetgauge.functions.chunks import Chunks, following, plan_chunks, prefix
 from fleetgauge.functions.common import interval, micros, same_keys
 from fleetgauge.functions.replay import BreakerRule, breaker, hold_off, map_batches
 
@@ -47,20 +47,28 @@ def rate_limit_flags(
 ) -> DataFrame:
     """Calls in the window that ends at each call (both ends included) and whether they exceed the limit.
 
-    Every call is also handed to the later chunks its period reaches into, so the
-    range window of a chunk is complete on its own.
+    The count is a difference of two running counts, up to the call and up to
+    just before the start of its window. Calls are first counted per time, and a
+    probe at each window start takes part in the same running sum, so a period of
+    any density costs two rows per distinct time.
     """
     ts = order[0]
     data = df.select(*keys, *order)
-    chunks = chunks or plan_chunks(df, ts)
-    own = chunks.tag(data, out="__own")
-    reach = chunks.tag(own, by=micros(ts).cast("double") + F.lit(period * 1e6), out="__reach")
-    spread = reach.withColumn(CHUNK, F.explode(F.sequence("__own", "__reach")))
-    w = Window.partitionBy(*keys, CHUNK).orderBy("__us").rangeBetween(-int(period * 1_000_000), 0)
-    return (
-        spread.withColumn("__us", micros(ts)).withColumn("calls_in_period", F.count(F.lit(1)).over(w))
-        .where(F.col(CHUNK) == F.col("__own"))
-        .select(*keys, *order, "calls_in_period", (F.col("calls_in_period") > calls).alias("exceeded"))
+    splits = (chunks or plan_chunks(df, ts)).splits
+    us = micros(ts).alias("__us")
+    times = data.groupBy(*keys, us).agg(F.count(F.lit(1)).alias("__n")).withColumn("__t", F.col("__us")).withColumn("__kind", F.lit(1))
+    probes = times.withColumn("__t", F.col("__us") - int(period * 1_000_000)).withColumn("__kind", F.lit(0)).withColumn(
+        "__n", F.lit(0).cast("bigint")
+    )
+    summed = prefix(
+        times.unionByName(probes), keys, ["__t", "__kind"], Chunks("__t", splits), {"__upto": ("sum", F.col("__n"))}
+    )
+    # A time has one row of each kind: the running count at the call, and at its probe.
+    held = summed.groupBy(*keys, "__us").agg(F.sum(
+        F.when(F.col("__kind") == 1, F.col("__upto")).otherwise(-F.col("__upto"))
+    ).alias("calls_in_period"))
+    return same_keys(data.withColumn("__us", micros(ts)), held, [*keys, "__us"]).select(
+        *keys, *order, "calls_in_period", (F.col("calls_in_period") > calls).alias("exceeded")
     )
 
 

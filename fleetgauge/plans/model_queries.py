@@ -351,7 +351,7 @@ def _evaluate(scored: DataFrame) -> DataFrame:
     return evaluation.classification_metrics(scored, "label", "prediction")
 
 
-@query("pipeline", "features", f"""
+@query("evaluate_steps", "features", f"""
 WITH {_STATS},
 x AS (SELECT CASE WHEN coalesce(price, pm) - pm > 0 THEN 1 ELSE 0 END AS label, CASE WHEN balance - bm > 0 THEN 1 ELSE 0 END AS prediction FROM features, st),
 {_WEIGHTED}""")
