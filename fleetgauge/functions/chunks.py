@@ -21,6 +21,8 @@ from fleetgauge.functions.common import col, micros, same_keys
 CHUNK = "__chunk"
 CHUNKS_PER_CORE = 2
 MAX_CHUNKS = 8192
+# Default of spark.sql.optimizer.windowGroupLimitThreshold.
+GROUP_LIMIT = 1000
 
 
 def _position(df: DataFrame, by: str) -> Column:
@@ -182,11 +184,16 @@ def runs(df: DataFrame, keys: list[str], order: list[str], chunks: Chunks, flag:
 def latest_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """The newest `n` rows per key.
 
-    A row-number filter with a constant bound lets Spark keep only `n` rows per
-    key in every input partition before the shuffle.
+    Up to GROUP_LIMIT, a row-number filter lets Spark keep only `n` rows per key
+    in every input partition before the shuffle. Beyond it the rows are counted
+    back from the newest chunk by chunk.
     """
-    w = Window.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order])
-    return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
+    if n <= GROUP_LIMIT:
+        w = Window.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order])
+        numbered = df.withColumn("__rn", F.row_number().over(w))
+    else:
+        numbered = prefix(df, keys, order, plan_chunks(df, order[0]), {"__rn": ("sum", F.lit(1))}, reverse=True)
+    return numbered.where(F.col("__rn") <= n).drop("__rn")
 
 
 def exact_percentiles(

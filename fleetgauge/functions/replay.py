@@ -20,11 +20,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetgauge.functions.chunks import CHUNK, Chunks
-from fleetgauge.functions.common import micros, same_keys
+from fleetgauge.functions.common import micros
 
 NEVER = -(2**62)
 
@@ -91,17 +90,19 @@ def _replay(
                     code, until = row.code[k], row.until[k]
         return batch[parts].assign(__code=codes, __until=untils)
 
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(sort_by)
-        return mark(pdf, int(pdf["__code"].iloc[0]), int(pdf["__until"].iloc[0]))
-
-    if chunks.splits:
-        summary = tagged.groupBy(*parts).applyInPandas(transfer, f"{key_ddl}, {_SUMMARY}")
-        entry = summary.groupBy(*keys).applyInPandas(entries, f"{key_ddl}, __code bigint, __until bigint")
-        tagged = same_keys(tagged, entry, parts)
-    else:
-        tagged = tagged.withColumn("__code", F.lit(start[0])).withColumn("__until", F.lit(start[1]))
-    return tagged.groupBy(*parts).applyInPandas(apply, out_schema)
+    def apply(pdf: pd.DataFrame, code: int = start[0], until: int = start[1]) -> pd.DataFrame:
+        return mark(pdf.sort_values(sort_by), code, until)
+
+    if not chunks.splits:
+        return tagged.groupBy(*parts).applyInPandas(lambda pdf: apply(pdf), out_schema)
+
+    def resume(pdf: pd.DataFrame, entered: pd.DataFrame) -> pd.DataFrame:
+        return apply(pdf, int(entered["__code"].iloc[0]), int(entered["__until"].iloc[0]))
+
+    summary = tagged.groupBy(*parts).applyInPandas(transfer, f"{key_ddl}, {_SUMMARY}")
+    entry = summary.groupBy(*keys).applyInPandas(entries, f"{key_ddl}, __code bigint, __until bigint")
+    # Both passes group by key and chunk, so Spark can reuse one shuffle of the rows.
+    return tagged.groupBy(*parts).cogroup(entry.groupBy(*parts)).applyInPandas(resume, out_schema)
 
 
 def hold_off(

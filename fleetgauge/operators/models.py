@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import statistics
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -12,11 +13,9 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,17 +125,17 @@ def cross_validate(
     df = df.select(key, *features, label)
     if task == "classification":
         folded = fold_column(df, label, key, folds)
-        scorer = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
     else:
         folded = df.withColumn("fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int"))
-        scorer = RegressionEvaluator(labelCol=label, metricName="r2")
     pipeline = _estimator(kind, features, label, params or {}, seed)
     folded = folded.drop(key).persist()
-    fitted = CrossValidator(
-        estimator=pipeline, estimatorParamMaps=[{}], evaluator=scorer, numFolds=folds, foldCol="fold", parallelism=2
-    ).fit(folded)
+    scores = []
+    for i in range(folds):
+        model = pipeline.fit(folded.where(F.col("fold") != i))
+        held_out = evaluate(model.transform(folded.where(F.col("fold") == i)), task, label)
+        scores.append(held_out["accuracy" if task == "classification" else "r2"])
     folded.unpersist()
-    return {"mean": float(fitted.avgMetrics[0]), "std": float(fitted.stdMetrics[0])}
+    return {"mean": statistics.fmean(scores), "std": statistics.pstdev(scores)}
 
 
 def score_batch(trained: Trained, df: DataFrame, keep: list[str]) -> DataFrame:

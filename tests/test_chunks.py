@@ -79,6 +79,13 @@ def test_latest_n_limits_before_the_shuffle(events):
     assert "WindowGroupLimit" in plan
 
 
+def test_latest_n_beyond_the_limit(events, monkeypatch):
+    df, pdf = events
+    monkeypatch.setattr("fleetgauge.functions.chunks.GROUP_LIMIT", 10)
+    want = pdf.sort_values(ORDER).groupby("key").tail(500)["id"]
+    assert sorted(r["id"] for r in latest_n(df, ["key"], ORDER, 500).collect()) == sorted(want)
+
+
 @pytest.mark.parametrize("n", [1, 3, 25])
 def test_exact_percentiles(events, n):
     df, pdf = events
