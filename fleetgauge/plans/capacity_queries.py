@@ -302,9 +302,9 @@ def _(v: Views) -> DataFrame:
 
 @query("forecast_cyclic", "fleet", f"""
 WITH {_CYCLE}, {_FORECAST}
-SELECT provider, cycle_length, round(forecast, 4) AS forecast, samples, 0.8::DOUBLE AS confidence FROM f""")
+SELECT provider, cycle_length, round(forecast, 8) AS forecast, samples, 0.8::DOUBLE AS confidence FROM f""")
 def _(v: Views) -> DataFrame:
-    return rounded(_forecasts(v), "forecast")
+    return rounded(_forecasts(v), "forecast", places=8)
 
 
 @query("predictive_size", "fleet", f"""
