@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetgauge import ship
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -73,6 +75,7 @@ class Views:
         self.folder = folder
         # Event times carry no zone; all conversions to instants are made in UTC.
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship(spark)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

@@ -20,6 +20,9 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from fleetgauge import ship
+
+    ship(session)
     yield session
     session.stop()
 
