@@ -86,7 +86,8 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
 
 
 def text_map(
-    df: DataFrame, text: str, keep: list[str], fields: str, function: Callable[[pa.Array], list[pa.Array]]
+    df: DataFrame, text: str, keep: list[str], fields: str, function: Callable[[pa.Array], list[pa.Array]],
+    limit: int = SLICE_BYTES,
 ) -> DataFrame:
     """`keep` columns of `df` and what `function` makes of the texts, slice by slice in Arrow batches.
 
@@ -106,7 +107,7 @@ def text_map(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at)
-            for a, b in slices(texts):
+            for a, b in slices(texts, limit):
                 part = batch.slice(a, b - a)
                 made = function(part.column(at))
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + made, names=names)

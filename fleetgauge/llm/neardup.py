@@ -1,0 +1,265 @@
+"""Near copies by MinHash: bands of minima, verified links, connected components.
+
+1. Each text becomes its set of word shingles, with the minima of many universal hashes
+   over it. Texts with equal sets form one class; only its smallest id goes on.
+2. Bands of minima give buckets. In a bucket nothing but links to one pivot is made, so a
+   bucket of any size gives as many candidates as it has members. Signatures discard
+   most candidates, and the full sets decide on the rest.
+3. Alternating large-star and small-star steps turn links into components.
+4. Members of a bucket that are linked in the end, but not through its pivot, are found by a
+   second family of many narrow bands over the documents whose buckets are still divided.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from fleetgauge.llm import bytescan
+from fleetgauge.llm.common import slices, stored, text_map
+
+WORDS = 5
+#: Two documents are linked if they share this percentage of the union of their shingles.
+PERCENT = 85
+HASHES = 192
+#: Bands and minima in each. A pair at 0.85 shares none of the first with a chance of 1e-4.
+FIRST = (24, 7)
+SECOND = (120, 16)
+#: Ids up to this number (16 bytes each in a broadcast) select texts without a shuffle of the others.
+BROADCAST_IDS = 1_000_000
+#: Bytes of text hashed at a time, so that the arrays stay in the processor's cache.
+SLICE = 1 << 20
+
+_A = bytescan.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_B = bytescan.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of the texts, sorted in each, and where each text's begin (one more at the end).
+
+    A text with fewer than `width` words has its whole sequence as the only shingle; one without words has none.
+    """
+    found = bytescan.words(texts, bytescan.blank_separated())
+    count = np.diff(found.first)
+    h, whole = bytescan.shingles(found, width)
+    values, owners = [h[whole]], [found.owner()[whole]]
+    for w in range(1, width):
+        own = np.flatnonzero(count == w)
+        if len(own):
+            short, _ = bytescan.shingles(found, w)
+            values.append(bytescan.mix(short[found.first[own]] + np.uint64(w)))
+            owners.append(own)
+    value, owner = np.concatenate(values), np.concatenate(owners)
+    order = np.lexsort((value, owner))
+    value, owner = value[order], owner[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+    value, owner = value[new], owner[new]
+    return value, np.searchsorted(owner, np.arange(len(count) + 1))
+
+
+def _signatures(texts: pa.Array, width: int) -> list[pa.Array]:
+    value, first = shingle_sets(texts, width)
+    n = np.diff(first)
+    full = np.flatnonzero(n)
+    begin = first[:-1][full]
+    d1, d2, s = (np.zeros((len(n), k), np.int64) for k in (1, 1, 3))
+    minima = np.zeros((len(full), HASHES), np.uint32)
+    if len(full):
+        d1[full, 0] = np.add.reduceat(bytescan.mix(value), begin).view(np.int64)
+        d2[full, 0] = np.add.reduceat(bytescan.mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)), begin).view(np.int64)
+        for k in range(HASHES):
+            low = np.minimum.reduceat(value * _A[k] + _B[k], begin)
+            minima[:, k] = bytescan.mix(low) >> np.uint64(32)
+        s[full] = np.packbits((minima & 1).astype(bool), axis=1).view(np.int64).reshape(len(full), 3)
+    raw: list[bytes | None] = [None] * len(n)
+    for i, row in zip(full.tolist(), minima, strict=True):
+        raw[i] = row.tobytes()
+    return [
+        pa.array(n, pa.int64()), pa.array(d1[:, 0], pa.int64()), pa.array(d2[:, 0], pa.int64()),
+        *[pa.array(s[:, k], pa.int64()) for k in range(3)], pa.array(raw, pa.binary()),
+    ]
+
+
+def _bands(count: int, rows: int, seed: int) -> np.ndarray:
+    """The minima of each band: drawn so that all minima are used equally often."""
+    draw = np.random.default_rng(seed)
+    need = -(-count * rows // HASHES)
+    many = np.concatenate([draw.permutation(HASHES) for _ in range(need)])
+    return many[: count * rows].reshape(count, rows)
+
+
+def _buckets(signatures: DataFrame, shape: tuple[int, int], seed: int) -> DataFrame:
+    """(key, id): the bucket of each document in each band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = _bands(*shape, seed)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                minima = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, HASHES).astype(np.uint64)
+                keys = np.empty((len(minima), len(bands)), np.uint64)
+                for b, at in enumerate(bands):
+                    acc = np.full(len(minima), seed * 1000 + b, np.uint64)
+                    for k in at:
+                        acc = bytescan.mix(acc * np.uint64(0x9E3779B97F4A7C15) + minima[:, k])
+                    keys[:, b] = acc
+                ids = np.repeat(part.column(0).to_numpy(), len(bands))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], names=["key", "id"])
+
+    return signatures.select("id", "sig").mapInArrow(run, "key bigint, id bigint")
+
+
+def _pivots(buckets: DataFrame) -> DataFrame:
+    """(key, id, members, low, high): buckets of two or more, with two of their members as pivots.
+
+    The pivot of a bucket is the least id under an order of its own, id XOR key, so that a
+    document meets other pivots in other bands; a plain minimum of numbers, it is found
+    with partial aggregation.
+    """
+    mixed = F.col("id").bitwiseXOR(F.col("key"))
+    found = buckets.groupBy("key").agg(F.count("*").alias("members"), F.min(mixed).alias("a"), F.max(mixed).alias("b")).where("members > 1")
+    return buckets.join(found, "key").select(
+        "key", "id", "members", F.col("a").bitwiseXOR(F.col("key")).alias("low"), F.col("b").bitwiseXOR(F.col("key")).alias("high")
+    )
+
+
+def _pairs(left: Column | str, right: Column | str) -> list[Column]:
+    return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
+
+
+def _alike(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose signatures agree as much as those of linked documents do, up to four deviations.
+
+    One bit of each minimum is compared: it agrees with a chance of (1 + similarity) / 2.
+    """
+    q = (1 + percent / 100) / 2
+    least = math.floor(HASHES * q - 4 * math.sqrt(HASHES * q * (1 - q)))
+    sketch = lambda s: signatures.select(F.col("id").alias(s), F.struct("s1", "s2", "s3").alias(f"s_{s}"))
+    differ = sum((F.bit_count(F.col("s_a")[f"s{k}"].bitwiseXOR(F.col("s_b")[f"s{k}"])) for k in (1, 2, 3)), F.lit(0))
+    return pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(differ <= HASHES - least).select("a", "b").distinct()
+
+
+def with_ids(df: DataFrame, key: str, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of `df` whose key is (left_semi) or isn't (left_anti) among the distinct ids.
+
+    The ids are counted first: up to BROADCAST_IDS go to the tasks, more are joined by a shuffle.
+    """
+    own = ids.toDF("__id")
+    few = own.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(own) if few else own, F.col(f"`{key}`") == F.col("__id"), how)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs whose full shingle sets have the similarity. `pairs` must be stored; `docs`: id, text."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = with_ids(docs, "id", ids, "left_semi")
+    both = (
+        pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
+        .join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in slices(batch.column(2)):
+                part = batch.slice(i, j - i)
+                sets = [shingle_sets(part.column(k), width) for k in (2, 3)]
+                linked = []
+                for r in range(part.num_rows):
+                    x, y = (v[f[r] : f[r + 1]] for v, f in sets)
+                    same = len(np.intersect1d(x, y, assume_unique=True))
+                    linked.append(100 * same >= percent * (len(x) + len(y) - same))
+                yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    return both.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) of the nodes that have links (a, b), but for the roots: the smallest node of each component.
+
+    Large-star and small-star steps alternate until the links don't change; both join the links
+    with one minimum per node, and no step gathers a component. Links are cut from their
+    lineage in the shared folder after each round; rounds follow the logarithm of the longest path.
+    """
+    edges = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = stored(edges, "links")
+    state = _state(edges)
+    while state[0]:
+        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = stored(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        before, state = state, _state(edges)
+        if state == before:
+            break
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _state(edges: DataFrame) -> tuple[int, int]:
+    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
+    return row["n"], row["h"]
+
+
+def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id (the name of `key`), n_shingles, component_id and kept of every row of `docs`.
+
+    Words are runs of characters other than space and \\x09 to \\x0D, A-Z lower-cased. Rows whose
+    sets of distinct `width`-word shingles have 100 * intersection >= percent * union are linked;
+    with fewer words the whole sequence is the only shingle. component_id is the smallest id
+    reachable over links, kept says that it is the row's own. The key must be an integer.
+
+    Null or empty texts and texts without words have no shingles and no links: component_id is their own
+    id. Rows without an id get a null component and stay (kept). Equal rows are linked like any
+    copies; rows that repeat an id are judged by their own texts. An empty table gives an empty one.
+    """
+    rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    fields = "n_shingles bigint, d1 bigint, d2 bigint, s1 bigint, s2 bigint, s3 bigint, sig binary"
+    every = stored(text_map(rows, "text", ["id"], fields, lambda t: _signatures(t, width), SLICE), "signatures")
+    a_set = ["n_shingles", "d1", "d2"]
+    classes = every.where("n_shingles > 0 and id is not null").groupBy(*a_set).agg(F.min("id").alias("rep"))
+    member = every.select("id", *a_set).join(classes, a_set, "left").select("id", "n_shingles", "rep")
+    member = stored(member, "classes")
+    copies = member.where("rep != id").select("id").distinct()
+    # One document of each class of equal sets.
+    one = with_ids(every.where("n_shingles > 0 and id is not null"), "id", copies, "left_anti")
+    sketches = every.where("n_shingles > 0 and id is not null").select("id", "s1", "s2", "s3")
+
+    bucket = stored(_pivots(_buckets(one, FIRST, 1)), "buckets")
+    first = stored(_alike(bucket.where("id != low").select(*_pairs("id", "low")).distinct(), sketches, percent), "pairs")
+    links = stored(_verified(first, rows, width, percent), "links")
+    label = components(links)
+
+    # Buckets of three or more that hold several components: pairs other than with the pivot are open.
+    wide = bucket.where("members > 2").select("key", "id").join(label, F.col("id") == F.col("node"), "left")
+    wide = wide.select("key", "id", F.coalesce("root", "id").alias("root"))
+    divided = wide.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    still = stored(wide.join(divided, "key", "left_semi").select("id", "root").distinct(), "open")
+    again = _pivots(_buckets(with_ids(one, "id", still.select("id"), "left_semi"), SECOND, 2))
+    pivots = again.select("id", F.explode(F.array("low", "high")).alias("pivot")).where("id != pivot")
+    open_pairs = pivots.select(*_pairs("id", "pivot")).distinct()
+    roots = lambda s: still.select(F.col("id").alias(s), F.col("root").alias(f"root_{s}"))
+    apart = open_pairs.join(roots("a"), "a").join(roots("b"), "b").where("root_a != root_b").select("a", "b")
+    second = stored(_alike(apart.join(first, ["a", "b"], "left_anti"), sketches, percent), "pairs")
+    more = _verified(second, rows, width, percent)
+    label = components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
+
+    done = member.join(label, F.col("rep") == F.col("node"), "left").select(
+        F.col("id").alias(key), "n_shingles", F.coalesce("root", "rep", "id").alias("component_id")
+    )
+    return done.withColumn("kept", F.coalesce(F.col(f"`{key}`") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Rows of `docs` that `near_copies` keeps: of each group of near copies the one with the smallest id.
+
+    Rows that repeat a kept id with another text of the group go too, if the id itself isn't kept for them.
+    """
+    gone = near_copies(docs, text, key, width, percent).where(~F.col("kept")).select(key).distinct()
+    return with_ids(docs, key, stored(gone, "copies"), "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import decontam, langid, linededup, pieces
+from fleetgauge.llm import decontam, langid, linededup, neardup, pieces
 from fleetgauge.llm.common import crc_mod, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,11 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@_query()
+def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_copies(table(spark, folder, "documents"))
+
+
 @_query()
 def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(table(spark, folder, "documents"), pieces.model_path(), keep=["doc_id"])
