@@ -63,6 +63,16 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def apart(df: DataFrame, number: str) -> DataFrame:
+    """`df` with the integer column computed anew.
+
+    An aggregate that is joined back on its own keys would bring its partitions into the join, and
+    adaptive execution splits a hot key only where the join shuffles both sides. Of a key that
+    is computed anew Spark doesn't know the partitions, so it does.
+    """
+    return df.withColumn(number, F.col(f"`{number}`").bitwiseXOR(F.lit(0)))
+
+
 def crc_mod(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n; null keys count as empty text."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(n))

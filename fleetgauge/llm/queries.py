@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import decontam, langid, linededup, neardup, pieces
-from fleetgauge.llm.common import crc_mod, table
+from fleetgauge.llm import decontam, langid, linededup, neardup, pieces, warc
+from fleetgauge.llm.common import crc_mod, shared_folder, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -24,6 +24,23 @@ def _query(sql: str | None = None):
     return add
 
 
+@_query("""
+WITH p AS (SELECT page_id, cast(strlen(coalesce(html, '')) AS bigint) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+g AS (SELECT n, d, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY n, d)
+SELECT p.page_id, p.n AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN g.top > p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN g.top > p.page_id THEN g.top END AS refers_to
+FROM p LEFT JOIN g ON p.n = g.n AND p.d = g.d
+""")
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = shared_folder(spark, "warc")
+    warc.write_records(warc.page_records(table(spark, folder, "pages")), path)
+    page = lambda c: F.nullif(F.substring_index(c, ":", -1), F.lit("")).cast("bigint")
+    return warc.read_records(spark, path).select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")
+    )
+
+
 @_query("""
 WITH lines AS (
   SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
