@@ -2,7 +2,8 @@
 
 For each language a bounded sample of labelled text serves as a raw-content
 dictionary of zstandard. A text belongs to the language whose dictionary makes it
-smallest; the difference to the second best, in bits a byte, is the margin.
+smallest; the difference to the second best is the margin. Dictionaries and texts are
+lower-cased, so that the first word of a sentence is the word it is elsewhere.
 """
 
 from __future__ import annotations
@@ -22,14 +23,15 @@ from fleetgauge.llm.common import text_map
 #: Rows of each language looked at for its dictionary, chosen by a hash of their key and text.
 SAMPLE_ROWS = 400
 #: Bytes of each language's dictionary, made of whole lines of those rows.
-DICTIONARY_BYTES = 96 << 10
+DICTIONARY_BYTES = 64 << 10
 #: A line longer than this is left out of dictionaries: it would stand for one document.
 LINE_BYTES = 2048
-LEVEL = 3
+#: Effort of the compressor. Lower levels look for matches too coarsely to tell short texts apart.
+LEVEL = 6
 #: Texts with a smaller difference between the best two, in bytes of compressed size, are rejected ...
 MIN_MARGIN_BYTES = 2
 #: ... and those where it is a smaller part of the best size.
-MIN_MARGIN = 0.01
+MIN_MARGIN = 0.003
 UNKNOWN = "und"
 
 
@@ -63,7 +65,7 @@ def fit(docs: DataFrame, training: Column, text: str = "text", language: str = "
     share = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, sample_rows / n)])[F.col("lang")]
     draw = F.pmod(F.xxhash64("key", F.lit("row")), F.lit(1 << 30)) < share * (1 << 30)
     lines = (
-        rows.where(draw).select("lang", F.explode(F.split("text", "\n", -1)).alias("line"))
+        rows.where(draw).select("lang", F.explode(F.split(F.lower("text"), "\n", -1)).alias("line"))
         .where((F.octet_length("line") <= LINE_BYTES) & F.col("line").rlike(r"\p{L}")).distinct()
         .select("lang", "line", F.xxhash64("line").alias("at"))
     )
@@ -126,7 +128,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
             if t is None or not own.languages or not any(map(str.isalpha, t)):
                 found = (UNKNOWN, 0.0, 0, 0.0)
             else:
-                found = classify(t.encode(), own)
+                found = classify(t.lower().encode(), own)
             langs.append(found[0])
             scores.append(found[1])
             margins.append(found[2])

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.llm import bytescan
-from fleetgauge.llm.common import slices, stored, text_map
+from fleetgauge.llm.common import apart, slices, stored, text_map
 
 WORDS = 5
 #: Two documents are linked if they share this percentage of the union of their shingles.
@@ -124,7 +124,7 @@ def _pivots(buckets: DataFrame) -> DataFrame:
     """
     mixed = F.col("id").bitwiseXOR(F.col("key"))
     found = buckets.groupBy("key").agg(F.count("*").alias("members"), F.min(mixed).alias("a"), F.max(mixed).alias("b")).where("members > 1")
-    return buckets.join(found, "key").select(
+    return buckets.join(apart(found, "key"), "key").select(
         "key", "id", "members", F.col("a").bitwiseXOR(F.col("key")).alias("low"), F.col("b").bitwiseXOR(F.col("key")).alias("high")
     )
 
@@ -192,9 +192,9 @@ def components(links: DataFrame) -> DataFrame:
     while state[0]:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(apart(low, "u"), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(apart(low, "u"), "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "links")
         before, state = state, _state(edges)
         if state == before:
@@ -224,7 +224,7 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
     every = stored(text_map(rows, "text", ["id"], fields, lambda t: _signatures(t, width), SLICE), "signatures")
     a_set = ["n_shingles", "d1", "d2"]
     classes = every.where("n_shingles > 0 and id is not null").groupBy(*a_set).agg(F.min("id").alias("rep"))
-    member = every.select("id", *a_set).join(classes, a_set, "left").select("id", "n_shingles", "rep")
+    member = every.select("id", *a_set).join(apart(classes, "n_shingles"), a_set, "left").select("id", "n_shingles", "rep")
     member = stored(member, "classes")
     copies = member.where("rep != id").select("id").distinct()
     # One document of each class of equal sets.
@@ -240,7 +240,7 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
     wide = bucket.where("members > 2").select("key", "id").join(label, F.col("id") == F.col("node"), "left")
     wide = wide.select("key", "id", F.coalesce("root", "id").alias("root"))
     divided = wide.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    still = stored(wide.join(divided, "key", "left_semi").select("id", "root").distinct(), "open")
+    still = stored(wide.join(apart(divided, "key"), "key", "left_semi").select("id", "root").distinct(), "open")
     again = _pivots(_buckets(with_ids(one, "id", still.select("id"), "left_semi"), SECOND, 2))
     pivots = again.select("id", F.explode(F.array("low", "high")).alias("pivot")).where("id != pivot")
     open_pairs = pivots.select(*_pairs("id", "pivot")).distinct()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import decontam, langid, linededup, neardup, pieces, warc
+from fleetgauge.llm import chat, decontam, langid, linededup, neardup, pieces, tokencount, warc
 from fleetgauge.llm.common import crc_mod, shared_folder, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,38 @@ def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_copies(table(spark, folder, "documents"))
 
 
+def _controls() -> str:
+    """The SQL text whose length is that of the escaped {}."""
+    out = "replace({}, chr(92), chr(92) || chr(92))"
+    for c in (*chat.RESERVED, *chat.FOREIGN):
+        out = f"replace({out}, '{c}', '{c[0]}' || chr(92) || '{c[1:]}')"
+    return out
+
+
+@_query(f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  cast(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS bigint) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  cast(sum(length({_controls().format('role')}) + length({_controls().format('text')}) + {len(chat.TURN + chat.TEXT + chat.END)}) + {len(chat.BEGIN)} AS bigint) AS formatted_chars
+FROM t GROUP BY conv_id
+""")
+def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    probes = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], rows.schema)
+    back = chat.read_back(chat.format_conversations(rows.unionAll(probes)))
+    turn = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    loss = F.array_join("loss_texts", "")
+    return back.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(F.array_join(F.transform("turns", turn), ""), 256).alias("turns_sha256"),
+        F.char_length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
 @_query()
 def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(table(spark, folder, "documents"), pieces.model_path(), keep=["doc_id"])
@@ -105,6 +137,16 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query()
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every line of every document; a token across lines belongs to the line of its first byte."""
+    found = tokencount.attribute(table(spark, folder, "documents"), keep=["doc_id"])
+    return found.select(
+        "doc_id", "n_tokens", F.size("section_tokens").cast("bigint").alias("n_sections"), "crossing",
+        F.array_max("section_tokens").alias("max_section_tokens"), F.array_join("section_tokens", ",").alias("section_tokens"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
