@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import chat, decontam, langid, linededup, neardup, pieces, tokencount, warc
-from fleetgauge.llm.common import crc_mod, shared_folder, table
+from fleetgauge.llm import chat, decontam, langid, linededup, neardup, pieces, quality, tokencount, warc
+from fleetgauge.llm.common import crc_mod, shared_folder, stored, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -137,6 +137,14 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query()
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    stats = stored(quality.statistics(table(spark, folder, "documents"), keep=["doc_id"]), "statistics")
+    rows = stored(quality.training_rows(stats, table(spark, folder, "labels")), "labelled")
+    found = quality.judge(stats, quality.learn(rows))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 @_query()
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every line of every document; a token across lines belongs to the line of its first byte."""
