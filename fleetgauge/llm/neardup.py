@@ -245,8 +245,8 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
     pivots = again.select("id", F.explode(F.array("low", "high")).alias("pivot")).where("id != pivot")
     open_pairs = pivots.select(*_pairs("id", "pivot")).distinct()
     roots = lambda s: still.select(F.col("id").alias(s), F.col("root").alias(f"root_{s}"))
-    apart = open_pairs.join(roots("a"), "a").join(roots("b"), "b").where("root_a != root_b").select("a", "b")
-    second = stored(_alike(apart.join(first, ["a", "b"], "left_anti"), sketches, percent), "pairs")
+    between = open_pairs.join(roots("a"), "a").join(roots("b"), "b").where("root_a != root_b").select("a", "b")
+    second = stored(_alike(between.join(first, ["a", "b"], "left_anti"), sketches, percent), "pairs")
     more = _verified(second, rows, width, percent)
     label = components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
 

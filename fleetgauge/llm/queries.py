@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import chat, decontam, langid, linededup, neardup, pieces, quality, tokencount, warc
+from fleetgauge.llm import chat, decontam, langid, linededup, neardup, pieces, quality, tokencount, toxicity, warc
 from fleetgauge.llm.common import crc_mod, shared_folder, stored, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,6 +145,14 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+@_query()
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = crc_mod(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, table(spark, folder, "labels"), ~held_out)
+    return toxicity.score(docs, model, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @_query()
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every line of every document; a token across lines belongs to the line of its first byte."""
