@@ -49,7 +49,7 @@ def _(v: Views) -> DataFrame:
 
 
 @query("parse_records", "", """
-SELECT event_id, a, b, CASE user_id % 5 WHEN 2 THEN 'invalid data format' WHEN 3 THEN 'arrays have different lengths' WHEN 4 THEN 'no data provided' END AS _error
+SELECT event_id, a, b, CASE user_id % 5 WHEN 2 THEN 'the body is neither a list nor an object' WHEN 3 THEN 'arrays have different lengths' WHEN 4 THEN 'the body is empty' END AS _error
 FROM (SELECT event_id, user_id, unnest(CASE user_id % 5 WHEN 0 THEN [{'a': user_id, 'b': 'x'}, {'a': event_id, 'b': NULL}]
   WHEN 1 THEN [{'a': user_id, 'b': 'y'}, {'a': event_id, 'b': 'z'}] ELSE [{'a': NULL, 'b': NULL}] END, recursive := true) FROM events)""")
 def _(v: Views) -> DataFrame:

@@ -38,14 +38,19 @@ def write_spans_jsonl(spans: DataFrame, path: str) -> None:
     spans.write.mode("append").json(path)
 
 
+#: Rows of one file of a snapshot.
+FILE_ROWS = 5_000_000
+
+
 def snapshot_history(history: DataFrame, path: str, ts: str = "ts", provider: str = "provider") -> None:
     """Write history by provider and clock hour; an hour that is written again is replaced as a whole.
 
-    Rows are gathered by their target partition first, so a task writes few files.
+    Rows are rebalanced by their target partition first, so a task writes few files; adaptive execution
+    splits a large hour over several tasks, and a file has FILE_ROWS rows at most.
     """
     hour = F.date_format(F.date_trunc("hour", F.col(ts)), "yyyy-MM-dd-HH")
-    out = history.withColumn("hour", hour).repartition(provider, "hour")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(provider, "hour").parquet(path)
+    out = history.withColumn("hour", hour).hint("rebalance", provider, "hour")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", FILE_ROWS).partitionBy(provider, "hour").parquet(path)
 
 
 def export_logs(logs: DataFrame, path: str, fmt: str) -> None:

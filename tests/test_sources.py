@@ -1,3 +1,4 @@
+import gzip
 import json
 
 import numpy as np
@@ -23,11 +24,29 @@ def test_json_both_forms(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps([{"a": 1, "b": "x"}, {"a": 2, "b": "y"}]))
     (tmp_path / "c.json").write_text(json.dumps({"a": {"0": 1, "1": 2}, "b": {"0": "x", "1": "y"}}))
     want = [(1, "x"), (2, "y")]
-    assert rows(tables.read_json(spark, str(tmp_path / "r.json"))) == want
+    assert rows(tables.read_json(spark, str(tmp_path / "r.json"), orient="array")) == want
+    assert rows(tables.read_by_extension(spark, str(tmp_path / "r.json"), orient="array")) == want
+    with pytest.raises(ValueError, match="orient"):
+        tables.read_json(spark, str(tmp_path / "r.json"), orient="guess")
     columns = tables.read_json(spark, str(tmp_path / "c.json"), "a int, b string", orient="columns")
     assert rows(columns.select("a", "b")) == want
 
 
+def test_json_lines(spark, tmp_path):
+    (tmp_path / "l.json").write_text('{"a": 1, "b": "x"}\n{"a": 2, "b": "y"}\n{"a": 3}\n')
+    want = [(1, "x"), (2, "y"), (3, None)]
+    assert rows(tables.read_json(spark, str(tmp_path / "l.json"))) == want
+    assert rows(tables.read_by_extension(spark, str(tmp_path / "l.json"), schema="a long, b string")) == want
+    (tmp_path / "big.json").write_text('{"a": 1}\n' * 20000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        split = tables.read_json(spark, str(tmp_path / "big.json"), "a long")
+        assert split.rdd.getNumPartitions() > 2 and split.count() == 20000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_parquet_round_trip(spark, tmp_path):
     sinks.write_parquet(spark.range(5), str(tmp_path / "x" / "p.parquet"))
     assert tables.read_parquet(spark, str(tmp_path / "x" / "p.parquet")).count() == 5
@@ -55,10 +74,27 @@ def test_many_csv(spark, tmp_path):
     (tmp_path / "b.csv").write_text("x,y\n5,6\n7,oops\n")
     (tmp_path / "empty.csv").write_text("")
     good, bad = tables.read_many_csv(spark, str(tmp_path / "*.csv"), "x int, y int")
-    assert rows(good.select("file_name", "x", "y")) == [("a.csv", 1, 2), ("a.csv", 3, 4), ("b.csv", 5, 6)]
+    assert rows(good.select("file_name", "x", "y")) == [("a.csv", 1, 2), ("a.csv", 3, 4)]
     assert sorted((r["file_path"].rsplit("/", 1)[1], r["bad_rows"]) for r in bad.collect()) == [("b.csv", 1), ("empty.csv", 0)]
 
 
+def test_many_csv_headers_and_damage(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "swapped one.csv").write_text("y,x\n4,3\n")
+    (tmp_path / "missing.csv").write_text("x\n5\n")
+    (tmp_path / "extra.csv").write_text("z,y,x\nq,7,6\n")
+    (tmp_path / "other.csv").write_text("p,q\n1,2\n")
+    packed = gzip.compress(b"x,y\n" + b"".join(b"%d,%d\n" % (i, i) for i in range(50000)))
+    (tmp_path / "whole.csv.gz").write_bytes(packed)
+    (tmp_path / "cut.csv.gz").write_bytes(packed[: len(packed) // 2])
+    good, bad = tables.read_many_csv(spark, str(tmp_path / "*.csv*"), "x int, y int")
+    small = good.where("file_name not like '%.gz'")
+    assert rows(small.select("x", "y")) == sorted([(1, 2), (3, 4), (5, None), (6, 7)], key=repr)
+    assert good.where("file_name = 'whole.csv.gz'").count() == 50000 and good.where("file_name = 'cut.csv.gz'").count() == 0
+    assert sorted(r["file_path"].rsplit("/", 1)[1] for r in bad.collect()) == ["cut.csv.gz", "other.csv"]
+    assert tables.read_many_csv(spark, str(tmp_path / "other.csv"), "x int")[0].count() == 0
+
+
 def test_by_extension(spark, tmp_path):
     (tmp_path / "t.csv").write_text("y,z\n1,2\n3,4\n")
     assert tables.read_by_extension(spark, str(tmp_path / "t.csv")).count() == 2
@@ -73,8 +109,8 @@ def test_parse_records_errors(spark):
     df = spark.createDataFrame(list(enumerate(bodies)), "i int, body string")
     got = {(r["i"], r["a"], r["b"], r["_error"]) for r in tables.parse_records(df, "body", "a int, b string", ["i"]).collect()}
     assert got == {
-        (0, None, None, "no data provided"), (1, None, None, "invalid data format"), (2, None, None, "invalid data format"),
-        (3, None, None, "no data provided"), (4, 1, None, None), (6, 1, None, None),
+        (0, None, None, "the body is empty"), (1, None, None, "the body is neither a list nor an object"), (2, None, None, "the body is neither a list nor an object"),
+        (3, None, None, "the body is empty"), (4, 1, None, None), (6, 1, None, None),
         (7, None, None, "no known column"), (8, None, None, "no known column"),
     }
 
