@@ -19,10 +19,11 @@ from pyspark.sql import types as T
 from fleetgauge.functions.common import col, micros, same_keys
 
 CHUNK = "__chunk"
-CHUNKS_PER_CORE = 2
-MAX_CHUNKS = 8192
-# Default of spark.sql.optimizer.windowGroupLimitThreshold.
-GROUP_LIMIT = 1000
+# Rows that a chunk has at most, equal values of the ordering column aside. A chunk's rows
+# of a few columns fit in the memory of a Python task.
+CHUNK_ROWS = 1_000_000
+# Sampled rows per chunk; the depth of a chunk then varies by a few percent.
+SAMPLE_ROWS = 2_000
 
 
 def _position(df: DataFrame, by: str) -> Column:
@@ -50,19 +51,24 @@ class Chunks:
         return tagged.withColumn(CHUNK, F.col("__cut").cast("int")).drop("__pos", "__cut")
 
 
-def plan_chunks(df: DataFrame, by: str, n: int | None = None) -> Chunks:
-    """Choose equi-depth cut points with one pass over one pruned column.
+def plan_chunks(df: DataFrame, by: str, n: int | None = None, rows: int = CHUNK_ROWS) -> Chunks:
+    """Choose equi-depth cut points so that a chunk has at most about `rows` rows.
 
-    Like the sampling pass of a range repartition this is a small job of its own;
-    it returns at most `n` numbers. By default there are a few chunks per core.
+    This runs when it is called: a count, and unless one chunk will do, a pass over a sample of one
+    pruned column. Over a derived frame both run what it is derived from; give the operators the
+    chunks of the source table's column instead. The number of chunks follows the rows and
+    nothing else; `n` sets it outright.
     """
+    pos = df.select(_position(df, by).alias("__pos"))
+    total = pos.count() if n is None else None
     if n is None:
-        n = min(MAX_CHUNKS, CHUNKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+        n = -(-total * 5 // (4 * rows))  # a quarter more, for the error of the sample
     if n <= 1:
         return Chunks(by)
+    share = 1.0 if total is None else min(1.0, SAMPLE_ROWS * n / total)
+    sample = pos if share > 0.5 else pos.sample(share, seed=1)
     probs = [i / n for i in range(1, n)]
-    pos = df.select(_position(df, by).alias("__pos"))
-    return Chunks(by, tuple(sorted(set(pos.approxQuantile("__pos", probs, 1 / (4 * n))))))
+    return Chunks(by, tuple(sorted(set(sample.approxQuantile("__pos", probs, 1 / (8 * n))))))
 
 
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -181,19 +187,22 @@ def runs(df: DataFrame, keys: list[str], order: list[str], chunks: Chunks, flag:
     )
 
 
-def latest_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
-    """The newest `n` rows per key.
+def latest_n(df: DataFrame, keys: list[str], order: list[str], n: int, chunks: Chunks | None = None) -> DataFrame:
+    """The newest `n` rows per key, in two steps for any n.
 
-    Up to GROUP_LIMIT, a row-number filter lets Spark keep only `n` rows per key
-    in every input partition before the shuffle. Beyond it the rows are counted
-    back from the newest chunk by chunk.
+    Counts per (key, chunk) tell in which chunks the newest `n` rows of each key lie; only rows of those
+    are ranked, so a key brings at most n rows and one chunk to the ranking task.
     """
-    if n <= GROUP_LIMIT:
-        w = Window.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order])
-        numbered = df.withColumn("__rn", F.row_number().over(w))
-    else:
-        numbered = prefix(df, keys, order, plan_chunks(df, order[0]), {"__rn": ("sum", F.lit(1))}, reverse=True)
-    return numbered.where(F.col("__rn") <= n).drop("__rn")
+    chunks = chunks or plan_chunks(df, order[0])
+    data = df
+    if chunks.splits:
+        tagged = chunks.tag(df)
+        newer = Window.partitionBy(*keys).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        counts = tagged.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("__n"))
+        held = counts.withColumn("__newer", F.coalesce(F.sum("__n").over(newer), F.lit(0))).where(F.col("__newer") < n)
+        data = same_keys(tagged, held.select(*keys, CHUNK), [*keys, CHUNK], "left_semi").drop(CHUNK)
+    w = Window.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order])
+    return data.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
 
 
 def exact_percentiles(

@@ -48,6 +48,8 @@ def bucket_start(ts: str | Column, width: str) -> Column:
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join on `keys` where null equals null; the right copy of the keys is dropped."""
+    if not keys:
+        raise ValueError("a join needs keys")
     renamed = right
     cond = F.lit(True)
     for k in keys:

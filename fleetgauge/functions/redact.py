@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import pandas as pd
@@ -25,34 +26,73 @@ def is_sensitive(key: str) -> bool:
     return any(word in key.lower() for word in SENSITIVE_WORDS)
 
 
-def _masked(node: dict) -> dict:
-    """Objects are entered whatever their key; lists keep everything but the objects in them."""
-    out = {}
-    for key, value in node.items():
-        if isinstance(value, dict):
-            out[key] = _masked(value)
-        elif isinstance(value, list):
-            out[key] = [_masked(v) if isinstance(v, dict) else v for v in value]
-        else:
-            out[key] = MASK if is_sensitive(key) else value
-    return out
+_TOKEN = re.compile(
+    r'''[ \t\n\r]*(?:(?P<text>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")'''
+    r"|(?P<scalar>-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)|(?P<sign>[][{}:,]))"
+)
 
 
-def redact_json(body: str | Column) -> Column:
-    """Redact a column of JSON objects; text that is no JSON object becomes null."""
+def mask_text(body: str) -> str:
+    """Mask the sensitive values of a JSON text; everything else stays as it is written.
+
+    The text is read token by token with a list of the open brackets, so depth, number formats and odd
+    escapes do no harm. Scalars under a sensitive key are replaced. Objects are entered under any key, and in
+    lists; a list in a list is left alone. A text that isn't JSON is replaced as a whole.
+    """
+    out: list[str] = []
+    brackets: list[str] = []
+    alone = 0  # brackets open when a list in a list began; 0: none did
+    done, key, want = 0, "", "value"
+    for m in iter(lambda: _TOKEN.match(body, done), None):
+        kind, token = m.lastgroup, m[m.lastgroup]
+        lead, done = body[done : m.start(kind)], m.end()
+        inner = brackets[-1] if brackets else ""
+        if kind == "text" and want in ("key", "first key"):
+            key, want = json.loads(token), "colon"
+        elif kind != "sign" and want in ("value", "first value"):
+            if inner == "{" and not alone and is_sensitive(key):
+                token = f'"{MASK}"'
+            want = "next"
+        elif token == ":" and want == "colon":
+            want = "value"
+        elif token in ("{", "[") and want in ("value", "first value"):
+            brackets.append(token)
+            if token == inner == "[" and not alone:
+                alone = len(brackets)
+            want = "first key" if token == "{" else "first value"
+        elif token == "}" and inner == "{" and want in ("next", "first key") or token == "]" and inner == "[" and want in ("next", "first value"):
+            alone = 0 if alone == len(brackets) else alone
+            brackets.pop()
+            want = "next"
+        elif token == "," and brackets and want == "next":
+            want = "key" if inner == "{" else "value"
+        else:
+            return f'"{MASK}"'
+        out += [lead, token]
+    if brackets or want != "next" or body[done:].strip(" \t\n\r"):
+        return f'"{MASK}"'
+    return "".join(out) + body[done:]
+
+
+def redact_json(body: str | Column, schema: T.StructType | str | None = None) -> Column:
+    """Redact a column of JSON texts (see `mask_text`); null stays null.
+
+    With a schema the work stays in the JVM: the text is parsed, redacted by its types and written
+    again, without fields that the schema lacks. A text that doesn't fit it is masked as a whole.
+    """
+    text = F.col(body) if isinstance(body, str) else body
+    if schema is not None:
+        kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        whole = T.StructType([*kind.fields, T.StructField("__bad", T.StringType())])
+        parsed = F.from_json(text, whole, {"columnNameOfCorruptRecord": "__bad"})
+        good = F.to_json(_typed(parsed, "", kind))
+        return F.when(parsed["__bad"].isNotNull(), F.lit(f'"{MASK}"')).when(text.isNotNull(), good)
 
     @F.pandas_udf(T.StringType())
     def run(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> str | None:
-            try:
-                node = json.loads(text)
-            except (TypeError, ValueError):
-                return None
-            return json.dumps(_masked(node), ensure_ascii=False) if isinstance(node, dict) else None
-
-        return texts.map(one)
+        return texts.map(lambda t: None if t is None else mask_text(t))
 
-    return run(F.col(body) if isinstance(body, str) else body)
+    return run(text)
 
 
 def _typed(c: Column, name: str, kind: T.DataType) -> Column:

@@ -40,9 +40,8 @@ def register_versions(catalog: DataFrame | None, new: DataFrame) -> DataFrame:
     if catalog is not None:
         rows = catalog.unionByName(rows)
     rest = [c for c in rows.columns if c not in KEYS]
-    return rows.groupBy(*KEYS).agg(F.max_by(F.struct(*rest), "seq").alias("__new")).select(
-        *KEYS, *[F.col(f"__new.{c}").alias(c) for c in rest]
-    )
+    # One aggregate per column: those that nobody asks for are pruned, and their columns with them.
+    return rows.groupBy(*KEYS).agg(*[F.max_by(c, "seq").alias(c) for c in rest])
 
 
 def latest_version(catalog: DataFrame) -> DataFrame:
@@ -167,6 +166,8 @@ def exists_by_prefix(prefixes: DataFrame, objects: DataFrame, prefix_col: str =
     lengths = prefixes.agg(F.collect_set(F.length(prefix_col)).alias("__lengths"))
     heads = with_total(objects.select(name), lengths).select(F.col(name), F.explode("__lengths").alias("__n")).where(
         F.length(name) >= F.col("__n")
-    ).select(F.expr(f"substring(`{name}`, 1, __n)").alias(prefix_col)).distinct()
-    marked = heads.withColumn("__hit", F.lit(True))
+    ).select(F.expr(f"substring(`{name}`, 1, __n)").alias(prefix_col))
+    # The few prefixes select the heads before those are made distinct.
+    marked = heads.join(prefixes.select(prefix_col).distinct(), prefix_col, "left_semi").distinct()
+    marked = marked.withColumn("__hit", F.lit(True))
     return same_keys(prefixes, marked, [prefix_col]).withColumn("exists", F.coalesce("__hit", F.lit(False))).drop("__hit")

@@ -15,9 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetgauge.functions.common import ratio, same_keys, with_total
+from fleetgauge.functions.common import cut, ratio, same_keys, with_total
 
-CATEGORY_CAP = 100
 STATE_SCHEMA = "step int, kind string, column string, params map<string,double>, categories array<string>"
 
 
@@ -63,30 +62,43 @@ def category_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(pairs).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _categories(df: DataFrame, columns: list[str], cap: int) -> dict[str, list[tuple[str | None, int]]]:
-    """Most frequent values per column, ties by value; at most cap + 2 per column reach the driver."""
+def _categories(df: DataFrame, columns: list[str]) -> dict[str, list[str | None]]:
+    """Distinct values per column in order, null last. They become columns, so they are the driver's to know."""
     if not columns:
         return {}
-    w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value").asc_nulls_last())
-    top = category_counts(df, columns).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap + 2)
-    out: dict[str, list[tuple[str | None, int]]] = {c: [] for c in columns}
-    for row in top.orderBy("column", "rn").collect():
-        out[row["column"]].append((row["value"], row["n"]))
-    return out
+    out: dict[str, list[str | None]] = {c: [] for c in columns}
+    for row in category_counts(df, columns).select("column", "value").toLocalIterator():
+        out[row["column"]].append(row["value"])
+    return {c: sorted(v, key=lambda x: (x is None, x or "")) for c, v in out.items()}
+
+
+def _modes(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
+    """Most frequent known value per column, of equally frequent ones the smallest; found with partial aggregation."""
+    if not columns:
+        return {}
+    known = category_counts(df, columns).where(F.col("value").isNotNull())
+    top = known.groupBy("column").agg(F.max("n").alias("n"))
+    best = known.join(top, ["column", "n"]).groupBy("column").agg(F.min("value").alias("value"))
+    return {r["column"]: r["value"] for r in best.collect()}
 
 
 def fit(
     df: DataFrame, numeric: list[str] | None = None, categorical: list[str] | None = None,
-    scaling: str | None = "standard", handle_missing: bool = True, encode: bool = True, cap: int = CATEGORY_CAP,
+    scaling: str | None = "standard", handle_missing: bool = True, encode: bool = True,
 ) -> list[Step]:
-    """Fit the steps in order: impute numeric, impute categorical, scale, encode."""
+    """Fit the steps in order: impute numeric, impute categorical, scale, encode.
+
+    Every category gets a column of its own. For columns with very many, leave `encode` out and
+    take `encode_wide`, which gives one vector.
+    """
     if scaling not in ("standard", "minmax", None):
         raise ValueError(f"unknown scaling: {scaling}")
     inferred = infer_feature_types(df)
     numeric = inferred[0] if numeric is None else numeric
     categorical = inferred[1] if categorical is None else categorical
     stats = _numeric_stats(df, numeric)
-    values = _categories(df, categorical, cap)
+    values = _categories(df, categorical) if encode else {}
+    modes = _modes(df, categorical) if handle_missing else {}
     steps: list[Step] = []
     if handle_missing:
         for c in numeric:
@@ -94,10 +106,9 @@ def fit(
                 raise ValueError(f"column {c} has no known value")
             steps.append(Step("impute_mean", c, {"value": stats[c]["mean"]}))
         for c in categorical:
-            known = [v for v, _ in values[c] if v is not None]
-            if not known:
+            if c not in modes:
                 raise ValueError(f"column {c} has no known value")
-            steps.append(Step("impute_mode", c, categories=(known[0],)))
+            steps.append(Step("impute_mode", c, categories=(modes[c],)))
     if scaling:
         for c in numeric:
             s = stats[c]
@@ -110,11 +121,7 @@ def fit(
             )
             steps.append(Step(f"scale_{scaling}", c, params))
     for c in categorical if encode else ():
-        found = [v for v, _ in values[c] if not (handle_missing and v is None)]
-        if len(found) > cap:
-            raise ValueError(f"column {c} has more than {cap} categories; encode it with encode_wide")
-        ordered = sorted(v for v in found if v is not None)
-        steps.append(Step("one_hot", c, categories=(*ordered, *([None] if None in found else []))))
+        steps.append(Step("one_hot", c, categories=tuple(v for v in values[c] if not (handle_missing and v is None))))
     return steps
 
 
@@ -174,7 +181,7 @@ def impute_mean(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def impute_mode(df: DataFrame, columns: list[str]) -> DataFrame:
     """Most frequent value per column; ties give the smallest value."""
-    return transform(df, fit(df, [], columns, scaling=None, encode=False, cap=1))
+    return transform(df, fit(df, [], columns, scaling=None, encode=False))
 
 
 def scale(df: DataFrame, columns: list[str], method: str) -> DataFrame:
@@ -186,9 +193,19 @@ def one_hot(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def label_encode(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Zero-based alphabetical code. Only distinct values are ordered, not rows."""
-    codes = df.select(column).distinct().where(F.col(column).isNotNull()).withColumn(
-        out, (F.row_number().over(Window.orderBy(column)) - 1).cast("bigint")
+    """Zero-based alphabetical code.
+
+    Only distinct values are ordered, not rows: they are dealt out by ranges, numbered within each, and
+    the counts of the ranges before are added. The ranges are checkpointed, since they come from a sample.
+    """
+    values = df.select(column).where(F.col(column).isNotNull()).distinct()
+    ranged = cut(values.repartitionByRange(column).withColumn("__range", F.spark_partition_id()))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range: as many as there are shuffle partitions.
+    offsets = ranged.groupBy("__range").agg(F.count("*").alias("__n")).withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    number = F.row_number().over(Window.partitionBy("__range").orderBy(column)) - 1
+    codes = ranged.withColumn("__number", number).join(offsets, "__range").select(
+        column, (F.col("__number") + F.col("__offset")).cast("bigint").alias(out)
     )
     return same_keys(df, codes, [column])
 

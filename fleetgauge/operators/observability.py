@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from fleetgauge.functions.chunks import exact_percentiles
 from fleetgauge.functions.common import count_if, cut, micros, percent, same_keys
 
-MAX_ROUNDS = 64
-
 
 def log_filter(
     df: DataFrame, levels: list[str] | None = None, components: list[str] | None = None, term: str = "",
@@ -81,36 +79,39 @@ def span_stats(df: DataFrame, keys: list[str]) -> DataFrame:
 def trace_tree(df: DataFrame, trace: str, span: str, parent: str) -> DataFrame:
     """Root, depth and number of children of every span.
 
-    A span without a known parent is a root. Each round doubles the distance that
-    every span can see up its chain, so the rounds grow with the logarithm of the
-    depth. Joins are on (trace, span), which is unique, so a trace of any size
-    spreads over all tasks.
+    A span without a known parent is a root. Spans that lie on a cycle of parents or hang from one have no
+    root: root_id and depth are null. A span that is reported repeatedly counts once, with its smallest parent.
+
+    Each round doubles the distance that a span sees up its chain and moves only those that haven't
+    reached a root; the others are done and only looked up. The depth of a trace is less than its number of
+    spans, so the logarithm of the largest trace bounds the rounds, and what still moves then is cyclic.
+    Each lookup is by (trace, span), which is unique on one side; adaptive execution splits the
+    other where many spans look for one root.
     """
-    links = df.select(trace, span, parent)
-    ids = links.select(F.col(trace), F.col(span).alias("__id")).withColumn("__known", F.lit(True))
-    known = links.join(
-        ids.withColumnRenamed(trace, "__t"), (F.col(trace) == F.col("__t")) & (F.col(parent) == F.col("__id")), "left"
-    )
-    found = F.col("__known").isNotNull()
-    state = cut(known.select(
+    links = df.groupBy(trace, span).agg(F.min(parent).alias(parent))
+    ids = links.select(F.col(trace).alias("__t"), F.col(span).alias("__id"))
+    known = links.join(ids, (F.col(trace) == F.col("__t")) & (F.col(parent) == F.col("__id")), "left")
+    found = F.col("__id").isNotNull()
+    moving = cut(known.select(
         trace, span, F.when(found, F.col(parent)).otherwise(F.col(span)).alias("root_id"),
         F.when(found, 1).otherwise(0).cast("bigint").alias("depth"), F.when(found, F.col(parent)).alias("__parent"),
     ))
-    for _ in range(MAX_ROUNDS):
-        up = state.select(
-            F.col(trace).alias("__t"), F.col(span).alias("__s"), F.col("root_id").alias("__up"), F.col("depth").alias("__more")
-        )
-        joined = state.join(up, (F.col(trace) == F.col("__t")) & (F.col("root_id") == F.col("__s")))
-        state = cut(joined.select(
-            trace, span, F.col("__up").alias("root_id"), (F.col("depth") + F.col("__more")).alias("depth"),
-            "__parent", "__more",
-        ))
-        moving = state.where("__more > 0").limit(1).count()
-        state = state.drop("__more")
-        if not moving:
+    done = moving.where("depth = 0")
+    moving = moving.where("depth > 0")
+    largest = df.groupBy(trace).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    for _ in range(largest.bit_length() + 1):
+        if not moving.limit(1).count():
             break
-    else:
-        raise ValueError("parent links form a cycle")
+        up = done.select(trace, span, "root_id", "depth", F.lit(True).alias("__ends")).unionByName(
+            moving.select(trace, span, "root_id", "depth", F.lit(False).alias("__ends")))
+        up = up.toDF("__t", "__s", "__up", "__more", "__ends")
+        seen = cut(moving.join(up, (F.col(trace) == F.col("__t")) & (F.col("root_id") == F.col("__s"))).select(
+            trace, span, F.col("__up").alias("root_id"), (F.col("depth") + F.col("__more")).alias("depth"), "__parent", "__ends",
+        ))
+        done = done.unionByName(seen.where("__ends").drop("__ends"))
+        moving = seen.where("NOT __ends").drop("__ends")
+    lost = moving.withColumns({"root_id": F.lit(None).cast(df.schema[span].dataType), "depth": F.lit(None).cast("bigint")})
+    state = done.unionByName(lost)
     children = state.where(F.col("__parent").isNotNull()).groupBy(trace, F.col("__parent").alias(span)).agg(
         F.count(F.lit(1)).alias("children")
     )

@@ -160,7 +160,7 @@ def gateway_metrics(
     """
     since = df if reset_ts is None else df.where(F.col(order[0]) >= F.lit(reset_ts).cast(df.schema[order[0]].dataType))
     rates = provider_error_rate(since, failed, provider)
-    rates = with_total(rates, since.agg(F.count(F.lit(1)).alias("__all"))).withColumn("share_pct", percent("requests", "__all"))
+    rates = with_total(rates, rates.agg(F.sum("requests").alias("__all"))).withColumn("share_pct", percent("requests", "__all"))
     recent = _recent_means(since, failed, order, latency, provider, RECENT_CALLS)
     health = health_now(df, [provider], order, failed)
     out = same_keys(same_keys(health, rates, [provider]), recent, [provider])

@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetgauge.functions.chunks import Chunks, plan_chunks
 from fleetgauge.operators import alerts, capacity, cost
 from fleetgauge.operators.alerts import Rule
 from fleetgauge.plans.registry import query
 from fleetgauge.plans.traffic_queries import BY_TIME, rounded
 from fleetgauge.plans.views import Views
 
+
+def _times(v: Views) -> DataFrame:
+    """Times of the cost items, from the fact table alone."""
+    return v.lineitem.select(F.col("l_shipdate").alias("ts"))
+
+
 _WEEK = """w AS (SELECT *, date_trunc('day', ts) AS period FROM cost_items
   WHERE ts > (SELECT max(ts) FROM cost_items) - INTERVAL 30 DAY AND service <> 'PROMO')"""
 
@@ -20,7 +27,7 @@ WITH {_WEEK}
 SELECT CASE WHEN grouping(period) = 0 THEN 'period' WHEN grouping(service) = 0 THEN 'service' ELSE 'total' END AS level,
   CAST(period AS TIMESTAMP) AS period, service, round(sum(amount), 4) AS cost FROM w GROUP BY GROUPING SETS ((period), (service), ())""")
 def _(v: Views) -> DataFrame:
-    return rounded(cost.cost_report(v.cost_items, "weekly", tag=F.col("service") != "PROMO"), "cost")
+    return rounded(cost.cost_report(v.cost_items, "weekly", tag=F.col("service") != "PROMO", times=_times(v)), "cost")
 
 
 _SERVICES = """s AS (SELECT amount, CASE service WHEN 'PROMO' THEN 'Amazon EC2' WHEN 'ECONOMY' THEN 'S3 Lambda store'
@@ -56,7 +63,7 @@ SELECT provider, model, CAST(grouping(provider, model) AS BIGINT) AS level,
   round(coalesce(sum(amount) FILTER (ts::DATE = now::DATE), 0), 4) AS today, round(sum(amount), 4) AS month
 FROM cost_items, n WHERE date_trunc('month', ts) = date_trunc('month', now) GROUP BY CUBE (provider, model)""")
 def _(v: Views) -> DataFrame:
-    return rounded(cost.cost_today_month(v.cost_items), "today", "month")
+    return rounded(cost.cost_today_month(v.cost_items, _times(v)), "today", "month")
 
 
 _REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -132,8 +139,8 @@ a AS (SELECT r.provider, run_start, run_start + INTERVAL 300 SECOND AS fired_at,
   FROM r LEFT JOIN n ON n.provider = r.provider AND n.rn = r.last_rn + 1 WHERE coalesce(n.ts, run_end) - run_start >= INTERVAL 300 SECOND)"""
 
 
-def _slow(v: Views) -> DataFrame:
-    return alerts.alert_for_duration(v.calls, ["provider"], BY_TIME, _SLOW)
+def _slow(v: Views, chunks: Chunks | None = None) -> DataFrame:
+    return alerts.alert_for_duration(v.calls, ["provider"], BY_TIME, _SLOW, chunks)
 
 
 @query("alert_for_duration", "calls", f"""
@@ -168,8 +175,8 @@ ae AS (SELECT ar.*, coalesce(least(al.ts, CASE WHEN run_start + INTERVAL 7 DAY <
 aa AS (SELECT * FROM ae WHERE coalesce(resolved_at, run_end) - run_start >= INTERVAL 2 HOUR)"""
 
 
-def _aligned(v: Views) -> DataFrame:
-    return alerts.alert_aligned(v.calls, ["user_id"], ["provider"], "ts", "latency_ms", 50, "1 hour", 7200)
+def _aligned(v: Views, chunks: Chunks | None = None) -> DataFrame:
+    return alerts.alert_aligned(v.calls, ["user_id"], ["provider"], "ts", "latency_ms", 50, "1 hour", 7200, chunks)
 
 
 @query("alert_aligned", "calls", f"""
@@ -186,9 +193,10 @@ u AS (SELECT fired_at AS ts, 'warning' AS severity, provider AS resource, 'slow'
   UNION ALL SELECT run_start + INTERVAL 2 HOUR, 'warning', provider, 'latency_ms_aligned', resolved_at FROM aa)
 SELECT ts, severity, resource, message, CASE WHEN resolved_at IS NULL THEN 'Active' ELSE 'Resolved' END AS status FROM u""")
 def _(v: Views) -> DataFrame:
+    chunks = plan_chunks(v.events, "ts")
     runs = [
         df.select(F.col("fired_at").alias("ts"), "severity", F.col("provider").alias("resource"), F.col("alert").alias("message"), "resolved_at")
-        for df in (_slow(v), _aligned(v))
+        for df in (_slow(v, chunks), _aligned(v, chunks))
     ]
     periods = _periods(v).select(
         F.col("period_end").alias("ts"), F.lit("critical").alias("severity"), F.col("provider").alias("resource"),

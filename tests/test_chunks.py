@@ -79,11 +79,21 @@ def test_latest_n_limits_before_the_shuffle(events):
     assert "WindowGroupLimit" in plan
 
 
-def test_latest_n_beyond_the_limit(events, monkeypatch):
-    df, pdf = events
-    monkeypatch.setattr("fleetgauge.functions.chunks.GROUP_LIMIT", 10)
-    want = pdf.sort_values(ORDER).groupby("key").tail(500)["id"]
-    assert sorted(r["id"] for r in latest_n(df, ["key"], ORDER, 500).collect()) == sorted(want)
+@pytest.mark.parametrize("n", [1, 5, 500, 5000])
+def test_latest_n_over_chunks(case, n):
+    df, pdf, chunks = case
+    want = pdf.groupby("key").tail(n)["id"]
+    assert sorted(r["id"] for r in latest_n(df, ["key"], ORDER, n, chunks).collect()) == sorted(want)
+
+
+def test_chunks_follow_the_rows(spark):
+    """Ten times the rows with the same cores: the largest chunk keeps its bound."""
+    for rows in (5_000, 50_000):
+        df = spark.range(rows).select((F.col("id") * 7919 % 104729).cast("double").alias("ts"))
+        plan = plan_chunks(df, "ts", rows=1_000)
+        sizes = [r["count"] for r in plan.tag(df).groupBy("__chunk").count().collect()]
+        assert max(sizes) <= 1_000 and len(sizes) >= rows // 1_000
+    assert plan_chunks(spark.range(100).withColumnRenamed("id", "ts"), "ts").splits == ()
 
 
 @pytest.mark.parametrize("n", [1, 3, 25])

@@ -52,10 +52,18 @@ def test_preprocess_equals_separate_passes(frame):
     assert list(got.columns) == ["id", "x", "flat", "c_a", "c_b"] and np.allclose(got["x"], (x - x.mean()) / x.std())
 
 
-def test_cap_and_wide_encoding(spark):
+def test_many_categories(spark):
+    df = spark.range(10_000).select("id", F.format_string("v%05d", F.col("id") % 5000).alias("c"))
+    steps = features.fit(df, [], ["c"])
+    assert len(steps[-1].categories) == 5000 and steps[0].categories == ("v00000",)
+    few = features.transform(df.where("id < 3"), [steps[0], features.Step("one_hot", "c", categories=steps[-1].categories[:300])])
+    assert len(few.columns) == 301
+    codes = {r["c"]: r["code"] for r in features.label_encode(df, "c", "code").collect()}
+    assert codes == {f"v{i:05d}": i for i in range(5000)}
+
+
+def test_wide_encoding(spark):
     df = spark.range(150).select(F.concat(F.lit("v"), "id").alias("c"))
-    with pytest.raises(ValueError, match="more than 100"):
-        features.fit(df, [], ["c"])
     out, model = features.encode_wide(df, ["c"])
     assert len(out.select(vector_to_array("c_vector").alias("v")).first()["v"]) == 150
     unseen = model.transform(spark.createDataFrame([("new",)], "c string")).select(vector_to_array("c_vector").alias("v"))

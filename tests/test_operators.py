@@ -1,6 +1,7 @@
 """Edge rules of the declarative operators on hand-made rows."""
 
 import datetime as dt
+import json
 import hashlib
 import hmac
 
@@ -268,10 +269,31 @@ def test_node_status(spark):
 
 
 def test_redaction(spark):
-    body = '{"api_key":"x","auth":{"user":"u","token":"t"},"emails":["a"],"Phone":1}'
-    df = spark.createDataFrame([(body,), ("[1]",), ("{",), (None,)], "b string")
-    assert [r[0] for r in df.select(redact.redact_json("b")).collect()] == [
-        '{"api_key": "[REDACTED]", "auth": {"user": "u", "token": "[REDACTED]"}, "emails": ["a"], "Phone": "[REDACTED]"}', None, None, None]
+    mask = '"[REDACTED]"'
+    cases = {
+        '{"api_key":"x","auth":{"user":"u","token":"t"},"emails":["a"],"Phone":1}':
+            f'{{"api_key":{mask},"auth":{{"user":"u","token":{mask}}},"emails":["a"],"Phone":{mask}}}',
+        '[{"zip": 5, "n": 1e400}, 12345678901234567890.10]': f'[{{"zip": {mask}, "n": 1e400}}, 12345678901234567890.10]',
+        '{"a": "\\ud800", "\\u0070assword": null}': f'{{"a": "\\ud800", "\\u0070assword": {mask}}}',
+        '{"rows": [[{"ssn": 1}], {"ssn": 2}], "ssn": 3, "keys": [1]}': f'{{"rows": [[{{"ssn": 1}}], {{"ssn": {mask}}}], "ssn": {mask}, "keys": [1]}}',
+        '"text"': '"text"', " 5 ": " 5 ", "{}": "{}", "[]": "[]",
+        "{": mask, "": mask, '{"a" 1}': mask, "[1,]": mask, '{"a":1}}': mask, "[1 2]": mask, "plain": mask, "01": mask, '{"a":}': mask,
+    }
+    deep = '{"a":' * 50_000 + '{"secret":1}' + "}" * 50_000
+    cases[deep] = '{"a":' * 50_000 + f'{{"secret":{mask}}}' + "}" * 50_000
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)] + [(-1, None)], "i int, b string")
+    got = {r["i"]: r["b"] for r in df.select("i", redact.redact_json("b").alias("b")).collect()}
+    assert got == {-1: None, **dict(enumerate(cases.values()))}
+    for text, masked in cases.items():
+        if masked != mask and text != deep:
+            json.loads(masked)
+
+
+def test_redaction_by_schema(spark):
+    df = spark.createDataFrame([('{"user":"u","token":"t","items":[{"zip":"1","n":2}]}',), ("{",), (None,)], "b string")
+    found = df.select(redact.redact_json("b", "user string, token string, items array<struct<zip: string, n: int>>").alias("b"))
+    assert [r["b"] for r in found.collect()] == ['{"user":"u","token":"[REDACTED]","items":[{"zip":"[REDACTED]","n":2}]}', '"[REDACTED]"', None]
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_typed_redaction(spark):
@@ -299,10 +321,14 @@ def test_deep_trace_and_orphans(spark):
     assert got[(1, 199)] == (0, 199, 0) and got[(1, 0)] == (0, 0, 1) and got[(2, 1)] == (0, 1, 0) and got[(2, 0)] == (0, 0, 1)
 
 
-def test_trace_cycle_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(observability, "MAX_ROUNDS", 3)
-    with pytest.raises(ValueError, match="cycle"):
-        observability.trace_tree(spark.createDataFrame([(1, 0, 1), (1, 1, 0)], "t int, s int, p int"), "t", "s", "p")
+def test_traces_with_cycles_and_repeats(spark):
+    links = [(1, 0, 1), (1, 1, 0), (1, 2, 1), (1, 3, None), (1, 4, 3), (2, 0, None), (2, 1, 0), (2, 1, 0), (3, 5, 5)]
+    df = spark.createDataFrame(links, "t int, s int, p int")
+    got = {(r["t"], r["s"]): (r["root_id"], r["depth"], r["children"]) for r in observability.trace_tree(df, "t", "s", "p").collect()}
+    assert got == {
+        (1, 0): (None, None, 1), (1, 1): (None, None, 2), (1, 2): (None, None, 0), (1, 3): (3, 0, 1), (1, 4): (3, 1, 0),
+        (2, 0): (0, 0, 1), (2, 1): (0, 1, 0), (3, 5): (None, None, 1),
+    }
 
 
 def test_trace_headers(spark):
