@@ -27,9 +27,9 @@ WORDS = 5
 #: Two documents are linked if they share this percentage of the union of their shingles.
 PERCENT = 85
 HASHES = 192
-#: Bands and minima in each. A pair at 0.85 shares none of the first with a chance of 1e-4.
-FIRST = (24, 7)
-SECOND = (120, 16)
+#: Bands and minima in each. A pair at 0.85 shares none of the first with a chance of 5e-6.
+FIRST = (32, 7)
+SECOND = (240, 16)
 #: Ids up to this number (16 bytes each in a broadcast) select texts without a shuffle of the others.
 BROADCAST_IDS = 1_000_000
 #: Bytes of text hashed at a time, so that the arrays stay in the processor's cache.
