@@ -11,11 +11,14 @@ whole corpus would need all chunk positions in a shuffle, many times the input.
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 from fleetgauge.llm.common import text_map
 
@@ -101,13 +104,11 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", ke
 
 
 def decode(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """All columns of `docs` and the text that the library's decode gives for the array of ids; null ids give empty text."""
-    from collections.abc import Iterator
+    """All columns of `docs` and the text that the library's decode gives for the array of ids; null ids give empty text.
 
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    if text in docs.columns:
-        raise ValueError(f"column {text} exists")
+    A column named like the text is replaced.
+    """
+    docs = docs.drop(text)
     schema = StructType(docs.schema.fields + [StructField(text, StringType())])
     at = docs.columns.index(ids)
 
@@ -127,9 +128,8 @@ def round_trip(docs: DataFrame, model: str, text: str = "text", keep: list[str]
     The same work as `encode` and then `decode`, in one Python pass: ids are made, decoded and
     digested where they are, instead of passing through the JVM twice.
     """
-    import hashlib
-
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    made = ("n_tokens", "ids_sha256", "decoded_sha256")
+    keep = [c for c in docs.columns if c not in (text, *made)] if keep is None else keep
 
     def function(texts: pa.Array) -> list[pa.Array]:
         own = segmenter(model)

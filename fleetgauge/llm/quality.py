@@ -29,6 +29,9 @@ MIN_PRECISION = 0.9
 MIN_COVERED = 3
 
 
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks")
+
+
 def repeated_words(words: Column) -> Column:
     """Words that lie in 3-word windows found twice or more in the array, the first time included."""
     n = F.size(words)
@@ -54,14 +57,14 @@ def repeated_words(words: Column) -> Column:
 
 
 def statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` (default: all but the text) and n_words, word_chars, n_symbols, n_dup_lines,
+    """Columns `keep` (default: all but the text and those named like the results) and n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, n_upper, n_marks of the whole text; a null text is empty.
 
     Words are runs of characters other than space and \\x09 to \\x0D. word_chars: code points in
     words; n_symbols: characters of SYMBOLS; n_dup_lines: lines with a word that equal an earlier line;
     n_repeat_words: see `repeated_words`; n_upper: capitals; n_marks: exclamation and question marks.
     """
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    keep = [c for c in docs.columns if c not in (text, *STATISTICS)] if keep is None else keep
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     own = docs.select(*[F.col(f"`{c}`") for c in keep], whole.alias("__text"))
     lines = F.filter(F.split("__text", "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")

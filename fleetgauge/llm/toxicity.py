@@ -37,6 +37,8 @@ MAX_TERMS = 5000
 FUZZY_LETTERS = 5
 #: A term with more ordinary words than this within an edit matches only exactly.
 MAX_HARMLESS = 2
+#: A misspelled term says this much of what the term says; labelled texts may have none to learn it from.
+MISSPELLED = 0.7
 #: Words to both sides that are read around a term.
 WINDOW = 6
 #: Weight of the penalty on large weights in the logistic model.
@@ -77,7 +79,8 @@ class Lexicon:
             node["*" if term.endswith("*") else ""] = term
             if self._fuzzy(term):
                 half = len(plain) // 2
-                heads.add(plain[:half])
+                # The second: the letters on both sides of the middle changed places.
+                heads |= {plain[:half], plain[: half - 1] + plain[half] + plain[half - 1]}
                 tails.add(plain[half:])
         self.heads, self.tails = heads, tails
         self.head_sizes, self.tail_sizes = sorted({len(h) for h in heads}), sorted({len(t) for t in tails})
@@ -159,7 +162,7 @@ FEATURES = 4
 
 
 def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
-    """For each text: weight of exact terms, of misspelled ones, of quoted ones, and unquoted terms per 100 words, on a log scale."""
+    """For each text: weight of terms, that of misspelled ones again, of quoted ones, and unquoted terms per 100 words, on a log scale."""
     found = bytescan.words(texts, bytescan.blank_separated())
     out = np.zeros((len(texts), FEATURES))
     if len(found.hashes) == 0 or not lexicon.terms:
@@ -187,7 +190,12 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
         lead = middle.find(core)
         left, right = left + middle[:lead], middle[lead + len(core) :] + right
         quoted = _quoted(left + core + right, len(left), len(left) + len(core), [normal(w) for w in left.split()])
-        out[t, 2 if quoted else edits] += lexicon.terms[term]
+        weight = lexicon.terms[term]
+        if quoted:
+            out[t, 2] += weight
+        else:
+            out[t, 0] += MISSPELLED * weight if edits else weight
+            out[t, 1] += weight * edits
         abuse[t] += not quoted
     n = np.maximum(1, np.diff(found.first))
     out[:, 3] = np.minimum(20.0, 100 * abuse / n)
@@ -205,9 +213,9 @@ class Model:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of a logistic model by Newton steps. Weights of term features can't be negative; both labels count alike."""
+    """Weights of a logistic model by Newton steps. Weights of term features can't be negative."""
     x = np.column_stack([x, np.ones(len(x))])
-    weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    weight = np.full(len(x), 1 / max(1, len(x)))
     w = np.zeros(x.shape[1])
     penalty = np.diag([RIDGE] * FEATURES + [1e-6])
     for _ in range(50):
