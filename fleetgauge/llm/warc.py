@@ -80,7 +80,7 @@ def _fields(head: bytes) -> dict[str, str]:
     name = ""
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         if line[:1] in (" ", "\t") and name:
-            out[name] += " " + line.strip()
+            out[name] = f"{out[name]} {line.strip()}".strip()
         elif ":" in line:
             name, value = line.split(":", 1)
             name = name.strip().lower()
@@ -177,21 +177,24 @@ class Members:
 
         The first valid candidate from which whole records follow one another counts: the magic, or
         even a member, may occur in the data of a record. If there are candidates but none of these
-        is such, the file is damaged.
+        is such, they lie within a record or the file is damaged: then the records are followed
+        from the beginning of the file, and the damage, if it is one, is an error.
         """
-        seen = None
-        for pos in [0] if begin == 0 else self.candidates(begin, end):
-            if begin == 0 or self._is_start(pos):
-                if begin and not self._unbroken(pos, end):
-                    seen = pos
-                    continue
-                while pos < min(end, self.size):
-                    fields, block, after = self.record(pos)
-                    yield pos, fields, block
-                    pos = after
-                return
-        if seen is not None:
-            raise ValueError(f"no unbroken run of records in bytes {begin} to {end}")
+        start, doubt = 0 if begin == 0 else None, False
+        for pos in self.candidates(begin, end) if begin else ():
+            if self._is_start(pos):
+                if self._unbroken(pos, end):
+                    start = pos
+                    break
+                doubt = True
+        if start is None and not doubt:
+            return
+        pos = start or 0
+        while pos < min(end, self.size):
+            fields, block, after = self.record(pos)
+            if pos >= begin:
+                yield pos, fields, block
+            pos = after
 
 
 def _result(fields: dict[str, str], block: bytes, verify: bool) -> tuple:
