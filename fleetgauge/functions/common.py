@@ -36,6 +36,11 @@ def micros(c: str | Column) -> Column:
     return F.unix_micros(col(c).cast("timestamp"))
 
 
+def uniform(key: str | Column) -> Column:
+    """Repeatable number in [0, 1) from the text of a key."""
+    return F.conv(F.substring(F.md5(col(key).cast("string")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
 def interval(seconds: float) -> Column:
     """Day-time interval of that many seconds."""
     return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(seconds)))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetgauge.functions.common import cut, ratio, same_keys, with_total
+from fleetgauge.functions.common import cut, ratio, same_keys, uniform, with_total
 
 STATE_SCHEMA = "step int, kind string, column string, params map<string,double>, categories array<string>"
 
@@ -223,8 +223,8 @@ def target_encode(df: DataFrame, train: Column, column: str, target: str, smooth
 
 
 def train_test_split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Repeatable split by a hash of the row key; it does not depend on partitioning."""
-    part = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10000)) < int(test_share * 10000)
+    """Repeatable split by a hash of the row key; it does not depend on partitioning. The hash is MD5, which every engine has."""
+    part = uniform(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))) < F.lit(test_share)
     return df.where(~part), df.where(part)
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 import statistics
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
@@ -76,8 +78,9 @@ def evaluate(df: DataFrame, task: str, label: str) -> dict[str, float]:
 def train_model(
     df: DataFrame, features: list[str], label: str, kind: str = "random_forest_classifier", name: str = "model",
     eval_data: DataFrame | None = None, params: dict | None = None, cv: int | None = None, key: str | None = None, seed: int = 42,
+    test_data: DataFrame | None = None,
 ) -> Trained:
-    """Fit and evaluate: train_* metrics, val_* on `eval_data`, cv_* with `cv` folds (needs a row `key`)."""
+    """Fit and evaluate: train_* metrics, val_* on `eval_data`, test_* on `test_data`, cv_* with `cv` folds (needs a row `key`)."""
     task = ESTIMATORS[kind][0] if kind in ESTIMATORS else None
     pipeline = _estimator(kind, features, label, params or {}, seed)
     started = time.monotonic()
@@ -89,6 +92,8 @@ def train_model(
     data.unpersist()
     if eval_data is not None:
         metrics |= {f"val_{k}": v for k, v in evaluate(model.transform(eval_data), task, label).items()}
+    if test_data is not None:
+        metrics |= {f"test_{k}": v for k, v in evaluate(model.transform(test_data), task, label).items()}
     if cv:
         scores = cross_validate(df, features, label, kind, key, cv, params, seed)
         metrics |= {f"cv_{k}": v for k, v in scores.items()}
@@ -111,6 +116,9 @@ def train_mlp(
     return train_model(df, features, label, "mlp_classifier", params=params, seed=seed, **options)
 
 
+FOLDS_AT_A_TIME = 4
+
+
 def fold_column(df: DataFrame, label: str, key: str, folds: int, chunks: Chunks | None = None) -> DataFrame:
     """Add `fold`: rows of each label take turns in the order of the key."""
     ranked = prefix(df, [label], [key], chunks or plan_chunks(df, key), {"__rank": ("sum", F.lit(1).cast("bigint"))})
@@ -129,11 +137,15 @@ def cross_validate(
         folded = df.withColumn("fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int"))
     pipeline = _estimator(kind, features, label, params or {}, seed)
     folded = folded.drop(key).persist()
-    scores = []
-    for i in range(folds):
+
+    def score(i: int) -> float:
         model = pipeline.fit(folded.where(F.col("fold") != i))
         held_out = evaluate(model.transform(folded.where(F.col("fold") == i)), task, label)
-        scores.append(held_out["accuracy" if task == "classification" else "r2"])
+        return held_out["accuracy" if task == "classification" else "r2"]
+
+    # Folds don't depend on one another: a few run side by side over the same persisted rows.
+    with ThreadPoolExecutor(min(folds, FOLDS_AT_A_TIME)) as pool:
+        scores = list(pool.map(inheritable_thread_target(df.sparkSession)(score), range(folds)))
     folded.unpersist()
     return {"mean": statistics.fmean(scores), "std": statistics.pstdev(scores)}
 

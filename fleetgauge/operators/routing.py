@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge.functions.chunks import Chunks, latest_n, plan_chunks, streak
-from fleetgauge.functions.common import count_if, percent, same_keys, with_total
+from fleetgauge.functions.common import count_if, percent, same_keys, uniform, with_total
 
 RECENT_CALLS = 100
 FAILOVER_THRESHOLD = 3
@@ -56,11 +56,6 @@ def route_by_latency(routes: DataFrame, latencies: DataFrame) -> DataFrame:
     return known.groupBy("path").agg(best.alias("__best")).select("path", F.col("__best.provider").alias("provider"))
 
 
-def uniform(key: str) -> Column:
-    """Repeatable number in [0, 1) from the text of a key."""
-    return F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-
-
 def route_by_weight(requests: DataFrame, weights: DataFrame, key: str) -> DataFrame:
     """Give every request a provider by weight.
 

@@ -124,6 +124,7 @@ def _length(batch: pd.DataFrame) -> pd.DataFrame:
     return batch.assign(words=batch["text"].str.split().str.len().fillna(0).astype("int64")).drop(columns="text")
 
 
-@query("map_partitions")
+@query("map_partitions", "", """
+SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS BIGINT) AS words FROM documents""")
 def _(v: Views) -> DataFrame:
     return resilience.map_partitions(v.documents.select("doc_id", "text"), _length, "doc_id bigint, words bigint")

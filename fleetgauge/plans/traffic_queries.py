@@ -9,6 +9,7 @@ from fleetgauge.operators import dashboards, routing, telemetry
 from fleetgauge.plans.registry import query
 from fleetgauge.plans.views import Views
 
+EVENT_TYPES = ("view", "click", "signup", "purchase", "error")
 BY_TIME = ["ts", "call_id"]
 
 
@@ -135,17 +136,20 @@ def _(v: Views) -> DataFrame:
 
 @query("infra_metrics", "calls", """
 WITH last AS (SELECT provider, model, event_type, arg_max(latency_ms, call_id) AS value FROM calls
-  WHERE event_type IN ('view', 'click') GROUP BY provider, model, event_type)
+  GROUP BY provider, model, event_type)
 SELECT provider, model, CAST(grouping(provider, model) AS BIGINT) AS level,
   round(coalesce(sum(value) FILTER (event_type = 'view'), 0), 4) AS view,
   round(coalesce(sum(value) FILTER (event_type = 'click'), 0), 4) AS click,
+  round(coalesce(sum(value) FILTER (event_type = 'signup'), 0), 4) AS signup,
+  round(coalesce(sum(value) FILTER (event_type = 'purchase'), 0), 4) AS purchase,
+  round(coalesce(sum(value) FILTER (event_type = 'error'), 0), 4) AS error,
   round(coalesce(sum(value) FILTER (event_type = 'view'), 0) * 100 / 500.0, 4) AS view_quota_pct
 FROM last GROUP BY ROLLUP (provider, model)""")
 def _(v: Views) -> DataFrame:
     out = telemetry.infra_metrics(
-        v.calls, "provider", "model", "event_type", ["view", "click"], "latency_ms", BY_TIME, {"view": 500.0}
+        v.calls, "provider", "model", "event_type", list(EVENT_TYPES), "latency_ms", BY_TIME, {"view": 500.0}
     )
-    return rounded(out, "view", "click", "view_quota_pct")
+    return rounded(out, *EVENT_TYPES, "view_quota_pct")
 
 
 @query("metric_timeseries", "calls", """
@@ -351,14 +355,16 @@ def _(v: Views) -> DataFrame:
 
 @query("resource_series", "calls", _series_sql(
     30, 86400,
-    "round(least(greatest(avg(latency_ms) FILTER (event_type = 'click'), 0.0), 100.0), 4) AS click, "
-    "round(avg(latency_ms) FILTER (event_type = 'view'), 4) AS view", "click, view",
+    "round(least(greatest(avg(latency_ms) FILTER (event_type = 'click'), 0.0), 100.0), 6) AS click, "
+    "round(avg(latency_ms) FILTER (event_type = 'view'), 6) AS view, "
+    + ", ".join(f"round(least(greatest(avg(latency_ms) FILTER (event_type = '{e}'), 0.0), 100.0), 6) AS {e}" for e in EVENT_TYPES[2:]),
+    "click, view, signup, purchase, error",
 ))
 def _(v: Views) -> DataFrame:
     out = dashboards.resource_series(
-        v.calls, "ts", "event_type", "latency_ms", ["click", "view"], ("view",), "Last 30 days"
+        v.calls, "ts", "event_type", "latency_ms", ["click", "view", *EVENT_TYPES[2:]], ("view",), "Last 30 days"
     )
-    return rounded(out, "click", "view")
+    return rounded(out, *EVENT_TYPES, places=6)
 
 
 @query("rate_and_error_series", "calls", """
