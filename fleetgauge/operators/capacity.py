@@ -22,6 +22,7 @@ from fleetgauge.functions.replay import hold_off
 class Scaling:
     """Scaling settings with their default values."""
 
+    # The defaults of scaling decisions.
     min_replicas: int = 1
     max_replicas: int = 20
     target_utilization: float = 70.0

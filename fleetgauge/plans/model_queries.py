@@ -6,8 +6,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetgauge.functions.common import with_total
 from fleetgauge.operators import evaluation, features, models
-from fleetgauge.plans.pipeline import Pipeline
+from fleetgauge.plans.pipeline import declared_pipeline
 from fleetgauge.plans.registry import query
 from fleetgauge.plans.traffic_queries import BY_TIME, rounded
 from fleetgauge.plans.views import Views
@@ -354,32 +355,59 @@ def _(v: Views) -> DataFrame:
 
 
 def _load(views: Views) -> DataFrame:
-    return views.features
+    return views.features.withColumn("price", F.col("price") / 1e5)
 
 
-def _prepare(load: DataFrame, scaling: str) -> DataFrame:
-    return features.preprocess(load, numeric=["price", "balance"], categorical=["priority", "segment"], scaling=scaling)[0]
+def _prepare(load: DataFrame) -> DataFrame:
+    whole = features.impute_mean(load, ["price"])
+    return features.preprocess(whole, numeric=["balance"], categorical=["priority", "segment"], scaling="standard")[0]
 
 
-def _positive(c: str) -> Column:
-    return F.when(F.col(c) > 0, 1).otherwise(0)
+def _fit(prepare: DataFrame) -> models.Trained:
+    return models.train_model(prepare, ["balance"], "price", "linear_regression")
 
 
-def _predict(prepare: DataFrame) -> dict[str, DataFrame]:
-    return {"scored": prepare.select(_positive("price").alias("label"), _positive("balance").alias("prediction"))}
+def _score(fit: models.Trained, prepare: DataFrame) -> DataFrame:
+    return models.score_batch(fit, prepare, ["row_id", "price"])
 
 
-def _evaluate(scored: DataFrame) -> DataFrame:
-    return evaluation.classification_metrics(scored, "label", "prediction")
+def _evaluate(score: DataFrame) -> DataFrame:
+    return evaluation.regression_metrics(score, "price", "prediction")
+
+
+_FLOWS = {"price": ["load", "prepare", "fit", "score", "evaluate"]}
+_FUNCTIONS = {"load": _load, "prepare": _prepare, "fit": _fit, "score": _score, "evaluate": _evaluate}
 
 
 @query("evaluate_steps", "features", f"""
 WITH {_STATS},
-x AS (SELECT CASE WHEN coalesce(price, pm) - pm > 0 THEN 1 ELSE 0 END AS label, CASE WHEN balance - bm > 0 THEN 1 ELSE 0 END AS prediction FROM features, st),
-{_WEIGHTED}""")
+d AS (SELECT coalesce(price, pm) / 1e5 AS y, balance AS x FROM features, st),
+w AS (SELECT covar_pop(y, x) / var_pop(x) AS b, avg(y) AS my, avg(x) AS mx FROM d),
+e AS (SELECT y, y - (my + b * (x - mx)) AS e FROM d, w)
+SELECT round(avg(e * e), 6) AS mse, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(e)), 6) AS mae,
+  round(1 - sum(e * e) / (var_pop(y) * count(*)), 6) AS r2 FROM e""")
 def _(v: Views) -> DataFrame:
-    flow = (
-        Pipeline("evaluate").add_step("load", _load).add_step("prepare", _prepare, scaling="standard")
-        .add_step("predict", _predict).add_step("metrics", _evaluate)
-    )
-    return rounded(flow.run({"views": v})["metrics"], *_SCORE_NAMES, places=6)
+    """A declared pipeline: load, preprocess, fit, score, evaluate."""
+    flow = declared_pipeline("price", _FLOWS, _FUNCTIONS)
+    return rounded(flow.run({"views": v})["evaluate"], "mse", "rmse", "mae", "r2", places=6)
+
+
+@query("pipeline_manifest", "", """
+SELECT 'price' AS name, ['load', 'prepare', 'fit', 'score', 'evaluate'] AS steps, 5.0::DOUBLE AS steps_count, count(*) AS scored FROM orders""")
+def _(v: Views) -> DataFrame:
+    """What a run leaves behind: its name, steps and their number, beside the rows it scored."""
+    flow = declared_pipeline("price", _FLOWS, _FUNCTIONS)
+    scored = flow.run({"views": v})["score"].agg(F.count("*").alias("scored"))
+    return with_total(flow.manifest(v.spark).select("name", "steps", F.col("metrics")["steps_count"].alias("steps_count")), scored)
+
+
+@query("feature_state", "features", f"""
+WITH {_STATS}
+SELECT 0 AS step, 'impute_mean' AS kind, 'price' AS column, round(pm, 4) AS value, []::VARCHAR[] AS categories FROM st
+UNION ALL SELECT 1, 'impute_mode', 'segment', NULL, [mode] FROM mo
+UNION ALL SELECT 2, 'one_hot', 'segment', NULL, list(segment ORDER BY segment) FROM (SELECT DISTINCT segment FROM features WHERE segment IS NOT NULL)""")
+def _(v: Views) -> DataFrame:
+    """Fitted steps as the table in which they are stored."""
+    steps = features.fit(v.features, ["price"], ["segment"], scaling=None)
+    table = features.state_table(v.spark, steps)
+    return table.select("step", "kind", "column", F.round(F.col("params")["value"], 4).alias("value"), "categories")

@@ -62,6 +62,9 @@ def test_npy(spark, tmp_path):
     assert npy.read_npy(spark, str(tmp_path)).count() == 13
     flat = tables.read_target(spark, str(tmp_path / "two.npy")).orderBy("row_key", "pos")
     assert [r["value"] for r in flat.collect()] == list(two.ravel())
+    np.save(tmp_path / "turned.npy", np.asfortranarray(np.arange(12, dtype="int16").reshape(4, 3)))
+    turned = npy.read_npy(spark, f"file://{tmp_path}/turn*.npy", rowsPerSplit=3).orderBy("row_id").collect()
+    assert [r["values"] for r in turned] == np.arange(12.0).reshape(4, 3).tolist()
     np.save(tmp_path / "objects.npy", np.array([{}], dtype=object), allow_pickle=True)
     with pytest.raises(Exception, match="(?i)pickle|object"):
         npy.read_npy(spark, str(tmp_path / "objects.npy")).collect()
