@@ -157,18 +157,30 @@ def _(v: Views) -> DataFrame:
     return _needs(v).select("ts", "provider", "need", "desired_total_nodes", "role")
 
 
-@query("allocate_up", "fleet", f"""
-WITH {_NEED},
+_UP = f"""{_NEED},
 c AS (SELECT * FROM m WHERE desired_total_nodes > total_gpu_nodes
   AND (role = 'scale_up' OR NOT EXISTS (SELECT 1 FROM m x WHERE x.ts = m.ts AND x.role = 'scale_up'))),
 a AS (SELECT ts, provider, gpu_node_count AS current_nodes, greatest(1, least(20, gpu_node_count
-  + CAST(trunc((desired_total_nodes - total_gpu_nodes) * (weight / sum(weight) OVER (PARTITION BY ts))) AS BIGINT))) AS desired_nodes FROM c)
+  + CAST(trunc((desired_total_nodes - total_gpu_nodes) * (weight / sum(weight) OVER (PARTITION BY ts))) AS BIGINT))) AS desired_nodes FROM c)"""
+
+
+@query("allocate_up", "fleet", f"""
+WITH {_UP}
 SELECT ts, provider, current_nodes, desired_nodes,
   CASE WHEN desired_nodes > current_nodes THEN 'scale_up' ELSE 'no_change' END AS action, desired_nodes - current_nodes AS delta FROM a""")
 def _(v: Views) -> DataFrame:
     return capacity.allocate_up(_needs(v), ["ts"], _CROSS)
 
 
+@query("cross_reason", "fleet", f"""
+WITH {_UP}
+SELECT ts, provider, CASE WHEN desired_nodes > current_nodes THEN 'Cross-cloud scale up: Balancing load across cloud providers based on cost weights'
+  ELSE 'No change needed in cross-cloud allocation' END AS reason FROM a""")
+def _(v: Views) -> DataFrame:
+    made = capacity.allocate_up(_needs(v), ["ts"], _CROSS)
+    return made.select("ts", "provider", capacity.cross_reason(F.col("current_nodes"), F.col("desired_nodes"), "cost").alias("reason"))
+
+
 @query("allocate_down", "fleet", f"""
 WITH {_NEED},
 c AS (SELECT *, greatest(0, gpu_node_count - 1) AS spare FROM m WHERE desired_total_nodes < total_gpu_nodes
