@@ -2,12 +2,15 @@
 
 A micro-batch hands each key its new rows; they are taken in time order and the
 state between batches is a few numbers per key. Rows that arrive in a later batch
-than a newer row of their key are applied on arrival. A key that sees no row for
+than a newer row of their key are applied on arrival. The rows of a key in one
+micro-batch are in memory together: bound them by the source's rate
+(maxFilesPerTrigger, maxOffsetsPerTrigger). A key that sees no row for
 `forget` seconds of event time loses its state.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,6 +23,7 @@ from fleetgauge.functions.common import micros
 from fleetgauge.functions.replay import BREAKER_COLUMNS, NEVER, BreakerRule
 from fleetgauge.operators import capacity
 from fleetgauge.operators.capacity import DEFAULTS, Scaling
+from fleetgauge.operators.routing import FAILOVER_THRESHOLD
 from fleetgauge.streaming.windows import event_time
 
 
@@ -91,19 +95,58 @@ def ttl_cache_stream(df: DataFrame, keys: list[str], order: list[str], ttl: floa
 
 
 def rate_limit_stream(df: DataFrame, keys: list[str], order: list[str], calls: int, period: float, delay: str) -> DataFrame:
-    """Whether a call exceeds the limit. The last `calls` times per key decide, so no more are kept."""
+    """Whether a call exceeds the limit. The last `calls` times per key decide, so no more are kept.
+
+    Of calls at one time the batch operator counts all for each; a stream sees them one by one and counts those before.
+    """
     span = int(period * 1_000_000)
 
     def step(rows: pd.DataFrame, state: tuple) -> tuple[dict[str, list], tuple]:
-        recent, flags = list(state[0]), []
+        recent, flags = deque(state[0], calls), []
         for ts in rows["__us"].tolist():
             flags.append(len(recent) == calls and ts - recent[0] <= span)
-            recent = [*recent, ts][-calls:]
-        return {"exceeded": flags}, (recent,)
+            recent.append(ts)
+        return {"exceeded": flags}, (list(recent),)
 
     return _stateful(df, keys, order, [], delay, period, "exceeded boolean", "recent array<bigint>", ([],), step)
 
 
+def admission_stream(df: DataFrame, keys: list[str], order: list[str], calls: int, period: float, delay: str, forget: float = 86400) -> DataFrame:
+    """Time at which each call is admitted when calls over the limit wait; the admissions of the last `calls` calls are kept.
+
+    Choose `forget` longer than any wait: a key that is forgotten admits its next call at once.
+    """
+    span = int(period * 1_000_000)
+
+    def step(rows: pd.DataFrame, state: tuple) -> tuple[dict[str, list], tuple]:
+        admitted, waits = deque(state[0], calls), []
+        for ts in rows["__us"].tolist():
+            at = max(ts, admitted[0] + span) if len(admitted) == calls else ts
+            admitted.append(at)
+            waits.append(at - ts)
+        return {"wait_us": waits}, (list(admitted),)
+
+    out = _stateful(df, keys, order, [], delay, forget, "wait_us bigint", "admitted array<bigint>", ([],), step)
+    later = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("wait_us") / F.lit(1_000_000))
+    return out.select(*keys, *order, (F.col("wait_us") / F.lit(1e6)).alias("wait_seconds"), (F.col(order[0]) + later).alias("admitted_ts"))
+
+
+def health_stream(df: DataFrame, keys: list[str], order: list[str], failed: Column, delay: str, threshold: int = FAILOVER_THRESHOLD) -> DataFrame:
+    """Length of the failure run after every check, and the health that follows from it."""
+
+    def step(rows: pd.DataFrame, state: tuple) -> tuple[dict[str, list], tuple]:
+        run, out = state[0], []
+        for fail in rows["failed"].tolist():
+            run = run + 1 if fail else 0
+            out.append(run)
+        return {"consecutive_failures": out}, (run,)
+
+    data = df.withColumn("failed", F.coalesce(failed, F.lit(False)))
+    counted = _stateful(data, keys, order, ["failed"], delay, 86400, "consecutive_failures bigint", "run bigint", (0,), step)
+    health = F.when(F.col("consecutive_failures") >= threshold, "unhealthy").otherwise("healthy")
+    return counted.select(*keys, *order, "consecutive_failures", health.alias("health"))
+
+
 def decision_stream(snapshots: DataFrame, delay: str, cfg: Scaling = DEFAULTS) -> DataFrame:
     """Scaling decisions from a stream of provider snapshots, outside the stabilisation windows.
 

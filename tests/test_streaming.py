@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetgauge.functions.chunks import Chunks
-from fleetgauge.operators import capacity, observability, resilience, telemetry
+from fleetgauge.operators import capacity, observability, resilience, routing, telemetry
 from fleetgauge.operators.capacity import Scaling
 from fleetgauge.streaming import stateful, windows
 
@@ -91,6 +91,14 @@ def test_rate_limit(spark, source, tmp_path):
     same(got.join(last, ["key", "id"], "left_semi"), exact.join(last, ["key", "id"], "left_semi"), ["key", "id", "exceeded"])
 
 
+def test_admission_and_health(spark, source, tmp_path):
+    stream, batch = source
+    got = drain(stateful.admission_stream(stream, ["key"], ORDER, 4, 120, "1 hour"), spark, tmp_path)
+    same(got, resilience.rate_limit_admission(batch, ["key"], ORDER, 4, 120, ONE), ["key", "id", "wait_seconds", "admitted_ts"])
+    got = drain(stateful.health_stream(stream, ["key"], ORDER, F.col("failed"), "1 hour"), spark, tmp_path)
+    same(got, routing.health_state(batch, ["key"], ORDER, F.col("failed"), chunks=ONE), ["key", "id", "consecutive_failures", "health"])
+
+
 def test_cooldown(spark, source, tmp_path):
     stream, batch = source
     hold = F.when(F.col("failed"), 60_000_000).otherwise(300_000_000).cast("bigint")
