@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import BLANKS, ascii_lower, let
+from fleetgauge.llm.common import BLANKS, apart, ascii_lower, let
 
 #: Normalised lines with fewer code points are never dropped.
 MIN_CHARS = 10
@@ -70,7 +70,7 @@ def drop_repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id"
     enough = F.min("__id") < F.max("__id") if min_docs == 2 else F.count_distinct("__id") >= min_docs
     shared = lines.groupBy("__h1", "__h2").agg(F.min("__id").alias("__first"), enough.alias("__shared")).where("__shared").drop("__shared")
     drops = (
-        lines.join(shared, ["__h1", "__h2"]).where(F.col("__id") != F.col("__first"))
+        lines.join(apart(shared, "__h1"), ["__h1", "__h2"]).where(F.col("__id") != F.col("__first"))
         .groupBy("__id", "__of").agg(F.sort_array(F.collect_set("__pos")).alias("__drop"))
     )
     plain = docs.drop(*[c for c in ("n_lines", "n_dropped", "kept_text") if c in docs.columns])
