@@ -11,28 +11,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge import ship
 from fleetgauge.llm import decontam, langid, linededup, neardup, pieces
-from fleetgauge.llm.common import crc_mod, stored, table
+from fleetgauge.llm.common import crc_mod, ready, stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; null, letterless and undecided texts go."""
-    ship(spark)
+    ready(spark)
     model = langid.fit(docs, crc_mod(F.col("doc_id"), 4) != 2)
     return langid.identify(docs, model).where(~F.col("rejected")).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the lines that an earlier one has; n_chars follows the text."""
-    ship(spark)
+    ready(spark)
     found = linededup.drop_repeated_lines(docs).withColumn("text", F.col("kept_text"))
     return found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
-    ship(spark)
+    ready(spark)
     return neardup.drop_near_copies(docs).select(*docs.columns)
 
 
@@ -44,7 +43,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and ids of every document."""
-    ship(spark)
+    ready(spark)
     found = pieces.encode(docs, pieces.model_path(), keep=["doc_id", "lang", "source"])
     return found.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
 
@@ -63,7 +62,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over `documents`, each written to the shared folder and read again."""
-    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)

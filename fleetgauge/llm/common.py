@@ -22,9 +22,22 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table; also hands the package to the Python workers."""
+#: Bytes of a batch that Spark hands to a Python worker; its own default, 64 MB, is held several times over per core.
+BATCH_BYTES = 8 << 20
+
+
+def ready(spark: SparkSession) -> None:
+    """Hand the package to the Python workers of the session and bound their batches.
+
+    The registered queries and the pipeline's stages call it; users of the operators may.
+    """
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table of a session made ready."""
+    ready(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -121,5 +134,7 @@ def text_map(
                 part = batch.slice(a, b - a)
                 made = function(part.column(at))
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + made, names=names)
+        # Workers are used again by later tasks: they shouldn't keep what this one held at its peak.
+        pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, schema)
