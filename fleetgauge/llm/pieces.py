@@ -25,7 +25,9 @@ from fleetgauge.llm.common import text_map
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
 #: Entries of a task's table of chunks; it is emptied when full.
-TABLE_ENTRIES = 200_000
+TABLE_ENTRIES = 100_000
+#: Bytes of text whose chunks are looked up together.
+SLICE = 1 << 20
 #: Longer chunks are segmented each time, so that the table stays small in bytes.
 TABLE_CHARS = 64
 
@@ -100,7 +102,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", ke
     def function(texts: pa.Array) -> list[pa.Array]:
         return [pa.array(segmenter(model).encode([t or "" for t in texts.to_pylist()]), pa.list_(pa.int32()))]
 
-    return text_map(docs, text, keep, f"`{ids}` array<int>", function)
+    return text_map(docs, text, keep, f"`{ids}` array<int>", function, SLICE)
 
 
 def decode(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -144,7 +146,7 @@ def round_trip(docs: DataFrame, model: str, text: str = "text", keep: list[str]
             text_sha.append(hashlib.sha256((own.model.decode(ids) if ids else "").encode()).hexdigest())
         return [pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
 
-    return text_map(docs, text, keep, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", function)
+    return text_map(docs, text, keep, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", function, SLICE)
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
