@@ -149,7 +149,7 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     held_out = crc_mod(F.col("doc_id"), 5) == 0
-    model = toxicity.fit(docs, table(spark, folder, "labels"), ~held_out)
+    model = toxicity.fit(docs, table(spark, folder, "labels").where(~held_out), ~held_out)
     return toxicity.score(docs, model, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 

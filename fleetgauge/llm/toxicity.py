@@ -238,7 +238,8 @@ def _sample(docs: DataFrame, labels: DataFrame, training: Column, text: str, key
     for value, n in sizes.items():
         share = F.when(F.col("toxic") == value, min(1.0, rows / n)).otherwise(share)
     drawn = known.where(F.pmod(F.xxhash64("__key", F.lit("draw")), F.lit(1 << 30)) < share * (1 << 30))
-    return own.join(drawn, F.col("__id") == F.col("__key")).select("text", "toxic")
+    # The draw bounds what is broadcast; the texts stay where they are read.
+    return own.join(F.broadcast(drawn), F.col("__id") == F.col("__key")).select("text", "toxic")
 
 
 def _terms(sample: DataFrame) -> tuple[dict[str, float], DataFrame]:
