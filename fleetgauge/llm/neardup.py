@@ -8,6 +8,8 @@
 3. Alternating large-star and small-star steps turn links into components.
 4. Members of a bucket that are linked in the end, but not through its pivot, are found by a
    second family of many narrow bands over the documents whose buckets are still divided.
+5. What lies in buckets that are divided even then is compared by an exact join on prefixes of
+   the shingle sets, between components only; bounds that no linked pair breaks thin the candidates.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ HASHES = 192
 #: Bands and minima in each. A pair at 0.85 shares none of the first with a chance of 5e-6.
 FIRST = (32, 7)
 SECOND = (240, 16)
+#: 64-bit words of the bitmap by which the exact join bounds how much two sets differ.
+BITMAP = 8
 #: Ids up to this number (16 bytes each in a broadcast) select texts without a shuffle of the others.
 BROADCAST_IDS = 1_000_000
 #: Bytes of text hashed at a time, so that the arrays stay in the processor's cache.
@@ -207,6 +211,74 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row["n"], row["h"]
 
 
+def _divided(bucket: DataFrame, label: DataFrame) -> DataFrame:
+    """(id, root): members of the buckets of three or more that hold several components."""
+    wide = bucket.where("members > 2").select("key", "id").join(label, F.col("id") == F.col("node"), "left")
+    wide = wide.select("key", "id", F.coalesce("root", "id").alias("root"))
+    divided = wide.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    return stored(wide.join(apart(divided, "key"), "key", "left_semi").select("id", "root").distinct(), "open")
+
+
+def _bitmaps(texts: pa.Array, width: int) -> list[pa.Array]:
+    """The shingle hashes, a digest of them, and bits of a bitmap in which each shingle flips one."""
+    value, first = shingle_sets(texts, width)
+    n = np.diff(first)
+    bits = np.zeros((len(n), 64 * BITMAP), np.uint8)
+    np.bitwise_xor.at(bits, (np.repeat(np.arange(len(n)), n), (bytescan.mix(value) % np.uint64(64 * BITMAP)).astype(np.int64)), 1)
+    words = np.packbits(bits, axis=1).view(np.int64)
+    digest = np.zeros(len(n), np.int64)
+    full = np.flatnonzero(n)
+    if len(full):
+        digest[full] = np.add.reduceat(bytescan.mix(value), first[:-1][full]).view(np.int64)
+    hashes = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(value.view(np.int64)))
+    return [hashes, pa.array(digest), *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(BITMAP)]]
+
+
+def _across(texts: DataFrame, still: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of ids in `still` (id, root) with different roots: all that may be linked, and few others.
+
+    Linked sets share a shingle among the first of each, under any order common to all, and what
+    follows it must suffice for the overlap. The order begins with shingles that only one
+    component has, as they can't be shared here, and goes on with the rarest. Of the components that share a
+    shingle the largest isn't joined with itself, so rows follow the pairs between components. A pair
+    whose bitmaps differ in more bits than linked sets may differ in shingles isn't a link.
+    """
+    words = [f"w{k}" for k in range(BITMAP)]
+    fields = ", ".join(["hashes array<bigint>", "digest bigint", *[f"{w} bigint" for w in words]])
+    sets = text_map(texts.join(still, "id"), "text", ["id", "root"], fields, lambda t: _bitmaps(t, width), SLICE)
+    sets = stored(sets.withColumn("n", F.size("hashes").cast("bigint")), "sets")
+    # An id that is repeated with another text is another row: its set has another digest.
+    row = ["id", "digest"]
+    held = sets.select(*row, "root", F.explode("hashes").alias("h"))
+    common = held.groupBy("h").agg(F.count("*").alias("docs"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("h", "docs")
+    ordered = (
+        held.select(*row, "h").distinct().join(apart(common, "h"), "h")
+        .groupBy(*row).agg(F.array_sort(F.collect_list(F.struct("docs", "h"))).alias("shared"))
+    )
+    # Of n shingles the first n - least + 1 make the prefix; those of one component come before the shared ones.
+    least = F.ceil(F.col("n") * percent / 100)
+    own = F.col("n") - F.size("shared")
+    length = (F.col("n") - least + 1 - own).cast("int")
+    prefix = (
+        sets.select(*row, "root", "n", *words).dropDuplicates(row).join(ordered, row).where(length > 0)
+        .select("id", "root", "n", *words, own.alias("own"), F.posexplode(F.slice("shared", F.lit(1), length)).alias("at", "s"))
+        .select(F.col("s.h").alias("h"), "id", "root", "n", (F.col("own") + F.col("at")).alias("at"), *words)
+    )
+    prefix = stored(prefix, "prefixes")
+    counts = prefix.groupBy("h", "root").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    left = prefix.join(apart(largest.select("h", "main"), "h"), "h").where("root != main").drop("main")
+    x, y = left.alias("x"), prefix.alias("y")
+    total = F.col("x.n") + F.col("y.n")
+    rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    differ = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words), F.lit(0))
+    pairs = x.join(
+        y, (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & (rest * (100 + percent) >= percent * total)
+        & (differ * (100 + percent) <= (100 - percent) * total),
+    )
+    return pairs.select(*_pairs("x.id", "y.id")).distinct()
+
+
 def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id (the name of `key`), n_shingles, component_id and kept of every row of `docs`.
 
@@ -236,11 +308,8 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
     links = stored(_verified(first, rows, width, percent), "links")
     label = components(links)
 
-    # Buckets of three or more that hold several components: pairs other than with the pivot are open.
-    wide = bucket.where("members > 2").select("key", "id").join(label, F.col("id") == F.col("node"), "left")
-    wide = wide.select("key", "id", F.coalesce("root", "id").alias("root"))
-    divided = wide.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    still = stored(wide.join(apart(divided, "key"), "key", "left_semi").select("id", "root").distinct(), "open")
+    # Buckets that hold several components: pairs other than with the pivot are open.
+    still = _divided(bucket, label)
     again = _pivots(_buckets(with_ids(one, "id", still.select("id"), "left_semi"), SECOND, 2))
     pivots = again.select("id", F.explode(F.array("low", "high")).alias("pivot")).where("id != pivot")
     open_pairs = pivots.select(*_pairs("id", "pivot")).distinct()
@@ -248,7 +317,13 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
     between = open_pairs.join(roots("a"), "a").join(roots("b"), "b").where("root_a != root_b").select("a", "b")
     second = stored(_alike(between.join(first, ["a", "b"], "left_anti"), sketches, percent), "pairs")
     more = _verified(second, rows, width, percent)
-    label = components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
+    known = lambda found: label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found)
+    label = components(known(more))
+
+    still = _divided(bucket, label)
+    texts = with_ids(rows, "id", still.select("id"), "left_semi")
+    third = stored(_across(texts, still, width, percent), "pairs")
+    label = components(known(_verified(third, rows, width, percent)))
 
     done = member.join(label, F.col("rep") == F.col("node"), "left").select(
         F.col("id").alias(key), "n_shingles", F.coalesce("root", "rep", "id").alias("component_id")

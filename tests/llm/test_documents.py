@@ -157,6 +157,24 @@ def test_near_copies_edges(spark):
         neardup.BROADCAST_IDS = few
 
 
+def test_near_copies_of_a_divided_family(spark, monkeypatch):
+    """Forms with filled slots share wide buckets; most linked pairs have no pivot among them."""
+    monkeypatch.setattr(neardup, "FIRST", (12, 1))
+    monkeypatch.setattr(neardup, "SECOND", (2, 1))
+    draw = random.Random(11)
+    form = [f"label{k} of the part {k}" for k in range(26)]
+    made = [[min(int(draw.expovariate(0.4)), 9) for _ in form] for _ in range(90)]
+    for own in made[:60] * 2:  # one slot filled otherwise
+        k = draw.randrange(len(form))
+        made.append(own[:k] + [own[k] + draw.choice([10, 20])] + own[k + 1 :])
+    draw.shuffle(made)
+    texts = [" ".join(f"{a} v{b}" for a, b in zip(form, own, strict=True)) for own in made]
+    found = neardup.near_copies(documents(spark, texts))
+    want = brute_near(list(enumerate(texts)))
+    assert 60 <= sum(not w[3] for w in want) and 50 <= sum(w[3] for w in want)
+    assert [tuple(r) for r in found.orderBy("doc_id").collect()] == want
+
+
 def test_components(spark):
     draw = random.Random(8)
     links = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 40)] + [(draw.randrange(500, 600), draw.randrange(500, 600)) for _ in range(60)] + [(7, 7)]
