@@ -22,8 +22,8 @@ from fleetgauge.llm.common import slices
 #: Who gets a token that crosses a boundary: the section of its first byte, of its last byte, the one
 #: with most of its bytes (of equal ones the first), or each its share of the bytes.
 RULES = ("first", "last", "most", "share")
-#: Longer runs of white space or of other characters are encoded in parts: the library's pattern
-#: matcher gives up on them.
+#: White space runs of this many characters are matched here: the library's pattern matcher gives up
+#: on those of several times the length. It has no such limit for other characters.
 LONG_RUN = 100_000
 
 
@@ -52,20 +52,26 @@ def encoder(path: str, splits: str):
     return tiktoken.Encoding("own", pat_str=splits, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
-_LONG = re.compile(r"\s{%d,}|\S{%d,}" % (LONG_RUN, LONG_RUN))
+#: White space as the library's patterns know it; Python's \s has four control characters more.
+_LONG = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 
 
 def encode(text: str, path: str, splits: str) -> list[int]:
-    """Ids of a text. Inside a run of LONG_RUN characters or more, all white space or none, it is cut at that length."""
+    """Ids of a text, those of the library for the whole.
+
+    The pattern takes a run of white space, but for its last character if more text follows, as one match. So
+    a long run is cut out where the pattern splits anyway and goes to the merges as one piece.
+    Another pattern than `pattern()` may split elsewhere; with it the library gets every text whole.
+    """
     own, _ = encoder(path, splits)
-    if len(text) < LONG_RUN or not _LONG.search(text):
+    if len(text) < LONG_RUN or splits != pattern():
         return own.encode_ordinary(text)
     out, done = [], 0
     for m in _LONG.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
         out += own.encode_ordinary(text[done : m.start()])
-        for a in range(m.start(), m.end(), LONG_RUN):
-            out += own.encode_ordinary(text[a : min(a + LONG_RUN, m.end())])
-        done = m.end()
+        out += own._encode_single_piece(text[m.start() : end])
+        done = end
     return out + own.encode_ordinary(text[done:])
 
 

@@ -468,3 +468,20 @@ def test_attribution_edges(spark):
     long = documents(spark, [" " * 250_000 + "x" * 250_000 + " end"])
     assert tokencount.attribute(long, keep=["doc_id"]).first()["n_tokens"] > 0
     assert tokencount.attribute(df.limit(0), "whole").count() == 0
+
+
+def test_long_runs_have_the_ids_of_the_whole():
+    path, splits = tokencount.vocabulary_path(), tokencount.pattern()
+    whole = tokencount.encoder(path, splits)[0].encode_ordinary
+    draw = random.Random(8)
+    size = tokencount.LONG_RUN + 1
+    code = "".join(draw.choices("abcdefgh(){};=.,+01é日", k=2 * size))
+    base64 = "".join(draw.choices("ABCDwxyz0189+/", k=3 * size))
+    blank = "".join(draw.choices(" \t\n\r\u3000", k=size))
+    runs = [code, base64, "日本語" * size, "7" * size, "x" * 2 * size, blank, " " * size, "\n" * size, "\x1c" * size]
+    for run in runs:
+        for text in (run, f"text of {run}", f"{run}word", f"a {run} b", f"{run}{blank}{run}!"):
+            assert tokencount.encode(text, path, splits) == whole(text)
+    # Ten times as long the library fails; the run is one match, and its last blank goes to the word.
+    far = " " * 10 * size
+    assert tokencount.encode(f"a{far}b", path, splits) == whole("a") + whole(" ") * (len(far) - 1) + whole(" b")
