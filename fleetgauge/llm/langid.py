@@ -32,6 +32,9 @@ LEVEL = 6
 MIN_MARGIN_BYTES = 2
 #: ... and those where it is a smaller part of the best size.
 MIN_MARGIN = 0.003
+#: Longer texts are compressed in pieces of equal size, of this many bytes at most: a dictionary helps each of
+#: them, while in one piece the text itself becomes the better dictionary and the margin fades.
+PIECE_BYTES = 64 << 10
 UNKNOWN = "und"
 
 
@@ -99,7 +102,10 @@ def _compressors(key: str, contents: tuple[bytes, ...]):
 
 def classify(data: bytes, model: Model) -> tuple[str, float, int, float]:
     """Language, score, margin in bytes and margin as a part of the best size."""
-    sizes = np.array([len(c.compress(data)) for c in _compressors(model.key, model.contents)], float)
+    count = max(1, -(-len(data) // PIECE_BYTES))
+    cuts = [i * len(data) // count for i in range(count + 1)]
+    parts = [data[a:b] for a, b in zip(cuts, cuts[1:])]
+    sizes = np.array([sum(len(c.compress(x)) for x in parts) for c in _compressors(model.key, model.contents)], float)
     best = int(sizes.argmin())  # of a tie the first in the order of names
     rest = np.delete(sizes, best)
     margin = float(rest.min() - sizes[best]) if len(rest) else float(sizes[best])
@@ -112,7 +118,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
              min_margin_bytes: int = MIN_MARGIN_BYTES, min_margin: float = MIN_MARGIN) -> DataFrame:
     """Columns `keep` (default: all) and lang_pred, score (0 to 1), margin (bytes) and rejected.
 
-    The whole text is compressed. lang_pred is a learned language, or `und` with score 0 if the
+    The whole text is compressed, a long one in pieces (PIECE_BYTES). lang_pred is a learned language, or `und` with score 0 if the
     text is null or has no letter, or nothing was learned. rejected: `und`, or a margin between the
     best two languages under `min_margin_bytes` bytes or under `min_margin` of the best size. Equal
     texts get equal results, since nothing but the text goes in. A tie goes to the first name.

@@ -232,6 +232,19 @@ def tongue(seed, syllables, n):
     return [" ".join(draw.choices(names, k=draw.randint(20, 80))) + "." for _ in range(n)]
 
 
+def test_language_of_long_texts():
+    """The relative margin doesn't fade with the length: a text many times as long is as clear."""
+    draw = random.Random(9)
+    syllables = ["".join(draw.choices("abcdefghiklmnoprstuvz", k=2)) for _ in range(90)]
+    own = lambda: ["".join(draw.choices(syllables, k=draw.randint(2, 4))) for _ in range(6000)]
+    names = {"xx": own(), "yy": own()}
+    text = lambda k, n: " ".join(draw.choices(names[k], k=n)).encode()
+    model = langid.Model(("xx", "yy"), tuple(text(k, 10_000)[: langid.DICTIONARY_BYTES] for k in names))
+    short, long = (langid.classify(text("yy", n), model) for n in (7_000, 600_000))
+    assert short[0] == long[0] == "yy" and long[3] >= langid.MIN_MARGIN
+    assert long[3] > short[3] / 2
+
+
 def test_language(spark):
     one, two = tongue(1, ["ka", "ro", "mi", "tu", "sel"], 120), tongue(2, ["öst", "gen", "sch", "ein", "ver"], 120)
     data = [(i, t, "xx") for i, t in enumerate(one)] + [(200 + i, t, "yy") for i, t in enumerate(two)]
