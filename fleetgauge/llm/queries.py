@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import chat, decontam, langid, linededup, neardup, pieces, quality, tokencount, toxicity, warc
+from fleetgauge.llm import chat, decontam, exactdup, langid, linededup, neardup, pieces, quality, tokencount, toxicity, warc
 from fleetgauge.llm.common import crc_mod, shared_folder, stored, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,6 +163,15 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query("""
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+""")
+def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exactdup.exact_copies(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
