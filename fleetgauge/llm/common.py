@@ -121,11 +121,12 @@ def text_map(
 
     source = df.select(*[F.col(f"`{c}`") for c in keep])
     at = keep.index(text) if text in keep and source.schema[text].dataType == StringType() else len(keep)
-    if at == len(keep):
-        source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
     added = StructType.fromDDL(fields)
-    schema = StructType(source.schema.fields[: len(keep)] + added.fields)
+    schema = StructType(source.schema.fields + added.fields)
     names = schema.names
+    if at == len(keep):
+        source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string"))
+    source = source.toDF(*[f"c{i}" for i in range(len(source.columns))])  # the columns' own names may be any
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import chat, decontam, exactdup, langid, linededup, neardup, pieces, quality, tokencount, toxicity, warc
+from fleetgauge.llm import chat, collocations, decontam, exactdup, langid, linededup, neardup, pieces, quality, tokencount, toxicity, vectorcodes, warc
 from fleetgauge.llm.common import crc_mod, shared_folder, stored, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,6 +163,74 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _code_rounds() -> str:
+    """SQL of two rounds of codebooks b0 to b2: assign every part to the nearest entry, then the floor of the mean."""
+    out = []
+    for i in range(vectorcodes.ROUNDS + 1):
+        out.append(f"""a{i} AS (SELECT vec_id, p, min(struct_pack(d := d, e := e)) AS best FROM (
+  SELECT x.vec_id, x.p, b.e, list_sum(list_transform(range(1, 1 + len(x.c)), lambda j: (x.c[j] - b.c[j]) * (x.c[j] - b.c[j])))::bigint AS d
+  FROM x JOIN b{i} b ON x.p = b.p) GROUP BY vec_id, p)""")
+        if i < vectorcodes.ROUNDS:
+            out.append(f"""b{i + 1} AS (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{i} b LEFT JOIN (
+  SELECT p, e, list(v ORDER BY j) AS c FROM (
+    SELECT x.p, a.best.e AS e, j, (sum(x.c[j]) - (sum(x.c[j]) % count(*) + count(*)) % count(*)) // count(*) AS v
+    FROM x JOIN a{i} a ON x.vec_id = a.vec_id AND x.p = a.p, unnest(range(1, 1 + len(x.c))) AS t(j) GROUP BY x.p, a.best.e, j)
+  GROUP BY p, e) m ON b.p = m.p AND b.e = m.e)""")
+    return ",\n".join(out)
+
+
+@_query(f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda y: floor({vectorcodes.SCALE} * y::double)::bigint) AS c FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+x AS (SELECT vec_id, p, c[1 + p * (len(c) // {vectorcodes.PARTS}):(p + 1) * (len(c) // {vectorcodes.PARTS})] AS c FROM v, unnest(range({vectorcodes.PARTS})) AS t(p)),
+s AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v QUALIFY e < {vectorcodes.ENTRIES}),
+b0 AS (SELECT p, e, c FROM x JOIN s ON x.vec_id = s.vec_id),
+{_code_rounds()},
+last AS (SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::bigint AS error FROM a{vectorcodes.ROUNDS} GROUP BY vec_id),
+d AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{vectorcodes.ROUNDS})
+SELECT v.vec_id, code, error, (sum(error) OVER (PARTITION BY label))::bigint AS label_error, codebooks_sha256
+FROM v JOIN last ON v.vec_id = last.vec_id, d
+""")
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "label", "embedding")
+    books = vectorcodes.fit(vectors)
+    if books is None:
+        return spark.createDataFrame([], "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string")
+    coded = stored(vectorcodes.encode(vectors, books), "codes")
+    return vectorcodes.with_group_error(coded).select(
+        "vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256")
+    )
+
+
+@_query(f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM pieces),
+g AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*)::hugeint AS f
+  FROM w, unnest(range(1, {collocations.MAX_WORDS + 1})) AS s(k), unnest(range(1, len(ws) - k + 2)) AS t(i) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::bigint AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE k >= 2 AND f >= {collocations.LEAST}),
+inner_parts AS (
+  SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS over
+  FROM c, unnest(range(2, k)) AS s(m), unnest(range(1, k - m + 2)) AS t(i) GROUP BY ALL),
+cuts AS (
+  SELECT c.lang, c.phrase, a, l.f AS l, r.f AS r, 1000000 * a * a // (l.f * r.f) AS score, j
+  FROM c, unnest(range(1, k)) AS s(j)
+  JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(ws[1:j], ' ')
+  JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(ws[j + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT best.lang, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, encode(best.phrase)) AS rank, best.phrase,
+  a::bigint AS a, l::bigint AS l, r::bigint AS r, n, score::bigint AS score
+FROM best JOIN n ON best.lang = n.lang LEFT JOIN inner_parts ON inner_parts.lang = best.lang AND inner_parts.phrase = best.phrase
+WHERE coalesce(100 * over < {collocations.INSIDE_PERCENT} * a, true) QUALIFY rank <= {collocations.TOP}
+""")
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 @_query("""
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
   sha256(coalesce(text, '')) AS text_sha256

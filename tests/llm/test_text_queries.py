@@ -20,7 +20,7 @@ FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
 NAMES = [
     "op1_warc", "op2_line_dedup", "op3_near_dedup", "op4_chat", "op5_sentencepiece", "op6_language_id", "op7_decontamination",
-    "op8_quality_rules", "op9_toxicity", "op10_token_counts", "op13_exact_dedup",
+    "op8_quality_rules", "op9_toxicity", "op10_token_counts", "op11_vector_codes", "op12_collocations", "op13_exact_dedup",
 ]
 
 
