@@ -15,7 +15,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +29,15 @@ WORDS = 5
 #: Two documents are linked if they share this percentage of the union of their shingles.
 PERCENT = 85
 HASHES = 192
-#: Bands and minima in each. A pair at 0.85 shares none of the first with a chance of 5e-6.
+#: Bands and minima in each, for PERCENT. A pair at 0.85 shares none of the first with a chance of 5e-6.
 FIRST = (32, 7)
 SECOND = (240, 16)
+#: What a pair's sizes and signatures are compared by.
+SKETCH = ["n", "s1", "s2", "s3"]
 #: 64-bit words of the bitmap by which the exact join bounds how much two sets differ.
 BITMAP = 8
-#: Ids up to this number (16 bytes each in a broadcast) select texts without a shuffle of the others.
-BROADCAST_IDS = 1_000_000
+#: Ids up to this number select texts by a broadcast (some 300 bytes each at its peak), without a shuffle of the others.
+BROADCAST_IDS = 200_000
 #: Bytes of text hashed at a time, so that the arrays stay in the processor's cache.
 SLICE = 1 << 20
 
@@ -98,55 +100,83 @@ def _bands(count: int, rows: int, seed: int) -> np.ndarray:
     return many[: count * rows].reshape(count, rows)
 
 
-def _buckets(signatures: DataFrame, shape: tuple[int, int], seed: int) -> DataFrame:
-    """(key, id): the bucket of each document in each band."""
+def _shape(shape: tuple[int, int], percent: int) -> tuple[int, int]:
+    """Bands with as many minima as give a pair at `percent` the chance that one at PERCENT has with `shape`."""
+    bands, rows = shape
+    if percent >= 100:
+        return bands, max(rows, HASHES // bands)
+    return bands, max(1, math.floor(rows * math.log(PERCENT / 100) / math.log(percent / 100)))
+
+
+def _buckets(signatures: DataFrame, shape: tuple[int, int], seed: int, carry: list[str] | None = None) -> DataFrame:
+    """(key, id) and the integers to `carry`: the bucket of each document in each band."""
+    carry = carry or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = _bands(*shape, seed)
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                minima = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, HASHES).astype(np.uint64)
+                minima = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint32).reshape(-1, HASHES).astype(np.uint64)
                 keys = np.empty((len(minima), len(bands)), np.uint64)
                 for b, at in enumerate(bands):
                     acc = np.full(len(minima), seed * 1000 + b, np.uint64)
                     for k in at:
                         acc = bytescan.mix(acc * np.uint64(0x9E3779B97F4A7C15) + minima[:, k])
                     keys[:, b] = acc
-                ids = np.repeat(part.column(0).to_numpy(), len(bands))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], names=["key", "id"])
+                own = [np.repeat(part.column(i).to_numpy(), len(bands)) for i in range(1, part.num_columns)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), *map(pa.array, own)], names=["key", "id", *carry])
 
-    return signatures.select("id", "sig").mapInArrow(run, "key bigint, id bigint")
+    return signatures.select("sig", "id", *carry).mapInArrow(run, ", ".join(f"{c} bigint" for c in ["key", "id", *carry]))
 
 
 def _pivots(buckets: DataFrame) -> DataFrame:
-    """(key, id, members, low, high): buckets of two or more, with two of their members as pivots.
+    """(key, id, members, low): buckets of two or more, with one of their members as pivot.
 
     The pivot of a bucket is the least id under an order of its own, id XOR key, so that a
     document meets other pivots in other bands; a plain minimum of numbers, it is found
     with partial aggregation.
     """
     mixed = F.col("id").bitwiseXOR(F.col("key"))
-    found = buckets.groupBy("key").agg(F.count("*").alias("members"), F.min(mixed).alias("a"), F.max(mixed).alias("b")).where("members > 1")
-    return buckets.join(apart(found, "key"), "key").select(
-        "key", "id", "members", F.col("a").bitwiseXOR(F.col("key")).alias("low"), F.col("b").bitwiseXOR(F.col("key")).alias("high")
+    found = buckets.groupBy("key").agg(F.count("*").alias("members"), F.min(mixed).alias("a")).where("members > 1")
+    return buckets.join(apart(found, "key"), "key").select("key", "id", "members", F.col("a").bitwiseXOR(F.col("key")).alias("low"))
+
+
+def _between(buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of a bucket and its two pivots that have different roots and may be linked.
+
+    `buckets` carry sizes, signatures and roots, so that what can't be linked, or already is, is
+    left out where member and pivot meet. Buckets of one root give nothing.
+    """
+    own = F.struct(F.col("id").bitwiseXOR(F.col("key")).alias("at"), "id", *SKETCH, "root")
+    ends = buckets.groupBy("key").agg(F.min(own).alias("low"), F.max(own).alias("high"), F.min("root").alias("r"), F.max("root").alias("s"))
+    ends = ends.where("r < s").select("key", F.explode(F.array("low", "high")).alias("y"))
+    met = buckets.join(apart(ends, "key"), "key").where(
+        (F.col("root") != F.col("y.root")) & _may_link(lambda c: F.col(c), lambda c: F.col("y")[c], percent)
     )
+    return met.select(*_pairs("id", "y.id")).distinct()
 
 
 def _pairs(left: Column | str, right: Column | str) -> list[Column]:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
 
-def _alike(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose signatures agree as much as those of linked documents do, up to four deviations.
+def _may_link(x: Callable[[str], Column], y: Callable[[str], Column], percent: int) -> Column:
+    """Whether two sets may be linked: by their sizes, and by signatures that agree as much as those of linked sets do, up to four deviations.
 
     One bit of each minimum is compared: it agrees with a chance of (1 + similarity) / 2.
     """
     q = (1 + percent / 100) / 2
     least = math.floor(HASHES * q - 4 * math.sqrt(HASHES * q * (1 - q)))
-    sketch = lambda s: signatures.select(F.col("id").alias(s), F.struct("s1", "s2", "s3").alias(f"s_{s}"))
-    differ = sum((F.bit_count(F.col("s_a")[f"s{k}"].bitwiseXOR(F.col("s_b")[f"s{k}"])) for k in (1, 2, 3)), F.lit(0))
-    return pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(differ <= HASHES - least).select("a", "b").distinct()
+    differ = sum((F.bit_count(x(f"s{k}").bitwiseXOR(y(f"s{k}"))) for k in (1, 2, 3)), F.lit(0))
+    return (F.lit(100) * F.least(x("n"), y("n")) >= F.lit(percent) * F.greatest(x("n"), y("n"))) & (differ <= HASHES - least)
+
+
+def _alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may be linked by what `sketches` (id and SKETCH) say."""
+    side = lambda s: sketches.select(F.col("id").alias(s), F.struct(*SKETCH).alias(f"s_{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(_may_link(lambda c: F.col("s_a")[c], lambda c: F.col("s_b")[c], percent)).select("a", "b").distinct()
 
 
 def with_ids(df: DataFrame, key: str, ids: DataFrame, how: str) -> DataFrame:
@@ -154,9 +184,12 @@ def with_ids(df: DataFrame, key: str, ids: DataFrame, how: str) -> DataFrame:
 
     The ids are counted first: up to BROADCAST_IDS go to the tasks, more are joined by a shuffle.
     """
-    own = ids.toDF("__id")
+    free = "__id"
+    while free.lower() in map(str.lower, df.columns):
+        free += "_"
+    own = ids.toDF(free)
     few = own.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(own) if few else own, F.col(f"`{key}`") == F.col("__id"), how)
+    return df.join(F.broadcast(own) if few else own, F.col(f"`{key}`") == F.col(free), how)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -267,7 +300,8 @@ def _across(texts: DataFrame, still: DataFrame, width: int, percent: int) -> Dat
     prefix = stored(prefix, "prefixes")
     counts = prefix.groupBy("h", "root").agg(F.count("*").alias("n"))
     largest = counts.groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    left = prefix.join(apart(largest.select("h", "main"), "h"), "h").where("root != main").drop("main")
+    # Both sides of the next join are tables of their own: a shingle that many have is split over tasks.
+    left = stored(prefix.join(apart(largest.select("h", "main"), "h"), "h").where("root != main").drop("main"), "prefixes")
     x, y = left.alias("x"), prefix.alias("y")
     total = F.col("x.n") + F.col("y.n")
     rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
@@ -300,22 +334,21 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
     member = stored(member, "classes")
     copies = member.where("rep != id").select("id").distinct()
     # One document of each class of equal sets.
-    one = with_ids(every.where("n_shingles > 0 and id is not null"), "id", copies, "left_anti")
-    sketches = every.where("n_shingles > 0 and id is not null").select("id", "s1", "s2", "s3")
+    one = with_ids(every.where("n_shingles > 0 and id is not null").withColumnRenamed("n_shingles", "n"), "id", copies, "left_anti")
+    if not every.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
+        # Rows that repeat an id take part once for each text; joins by id would multiply them.
+        rows, one = rows.dropDuplicates(["id", "text"]), one.dropDuplicates(["id", "d1", "d2"])
 
-    bucket = stored(_pivots(_buckets(one, FIRST, 1)), "buckets")
-    first = stored(_alike(bucket.where("id != low").select(*_pairs("id", "low")).distinct(), sketches, percent), "pairs")
+    bucket = stored(_pivots(_buckets(one, _shape(FIRST, percent), 1)), "buckets")
+    first = stored(_alike(bucket.where("id != low").select(*_pairs("id", "low")).distinct(), one.select("id", *SKETCH), percent), "pairs")
     links = stored(_verified(first, rows, width, percent), "links")
     label = components(links)
 
     # Buckets that hold several components: pairs other than with the pivot are open.
     still = _divided(bucket, label)
-    again = _pivots(_buckets(with_ids(one, "id", still.select("id"), "left_semi"), SECOND, 2))
-    pivots = again.select("id", F.explode(F.array("low", "high")).alias("pivot")).where("id != pivot")
-    open_pairs = pivots.select(*_pairs("id", "pivot")).distinct()
-    roots = lambda s: still.select(F.col("id").alias(s), F.col("root").alias(f"root_{s}"))
-    between = open_pairs.join(roots("a"), "a").join(roots("b"), "b").where("root_a != root_b").select("a", "b")
-    second = stored(_alike(between.join(first, ["a", "b"], "left_anti"), sketches, percent), "pairs")
+    open_ones = with_ids(one, "id", still.select("id").distinct(), "left_semi").join(still, "id")
+    again = _buckets(open_ones, _shape(SECOND, percent), 2, [*SKETCH, "root"])
+    second = stored(_between(again, percent).join(first, ["a", "b"], "left_anti"), "pairs")
     more = _verified(second, rows, width, percent)
     known = lambda found: label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found)
     label = components(known(more))
