@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -71,6 +71,26 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def named(column: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col(f"`{column}`")
+
+
+def others(columns: list[str], results: Iterable[str]) -> list[str]:
+    """Columns that aren't named like the results, in any case of letters: Spark takes those for the same name."""
+    taken = {r.lower() for r in results}
+    return [c for c in columns if c.lower() not in taken]
+
+
+def packed(columns: list[str]) -> Column:
+    """The columns as one, so that their names meet no others on the way; `unpacked` has them back."""
+    return F.struct(*[named(c) for c in columns]) if columns else F.lit(0)
+
+
+def unpacked(row: str, columns: list[str]) -> list[Column]:
+    return [F.col(row).getField(c).alias(c) for c in columns]
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """`use(value)` with `value` computed once, also where `use` names it inside a lambda."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

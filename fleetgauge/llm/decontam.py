@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.llm import bytescan
-from fleetgauge.llm.common import slices, stored, text_map
+from fleetgauge.llm.common import named, others, packed, slices, stored, text_map, unpacked
 
 WINDOW = 13
 #: Words of a shingle; of a window with fewer words, all.
@@ -253,17 +253,17 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item: s
     Items go to the tasks in blocks of at most `block_words` words: one pass each over the documents.
     """
     names = {"n_words", "n_hit", "n_items", "items", "ranges", "contaminated"}
-    keep = [c for c in docs.columns if c not in names] if keep is None else keep
-    carried = list(dict.fromkeys([*keep, text]))
-    source, ranges, found = docs.select(*[F.col(f"`{c}`") for c in carried]), [], []
+    keep = others(docs.columns, names) if keep is None else keep
+    whole = docs.select(packed(keep).alias("row"), named(text).cast("string").alias("text"))
+    source, ranges, found = whole, [], []
     blocks = _blocks(items, item, item_text, window, block_words)
     block = next(blocks, _EMPTY)
     while block is not None:
         later = next(blocks, None)
         tokens = _tokens(block, shingle)
-        index = _index(block, tokens, rarity(docs, text, tokens), shingle)
+        index = _index(block, tokens, rarity(whole, "text", tokens), shingle)
         n = len(ranges)
-        source = _scan(source, text, (carried if later else keep) + ranges + found, index)
+        source = _scan(source, "text", ["row", *(["text"] if later else []), *ranges, *found], index)
         ranges, found = [*ranges, f"__ranges{n}"], [*found, f"__items{n}"]
         source = source.withColumnsRenamed({"__ranges": ranges[-1], "__items": found[-1]})
         if later:
@@ -271,9 +271,9 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item: s
         block = later
     merged = F.sort_array(F.concat(*ranges)) if len(ranges) > 1 else F.col(ranges[0])
     every = F.sort_array(F.array_distinct(F.concat(*found)))
-    hit = source.select(*keep, "__n", merged.alias("__merged"), every.alias("__every")).withColumn("__hit", _union_length(F.col("__merged")))
+    hit = source.select("row", "__n", merged.alias("__merged"), every.alias("__every")).withColumn("__hit", _union_length(F.col("__merged")))
     return hit.select(
-        *keep, F.col("__n").alias("n_words"), F.col("__hit").alias("n_hit"), F.size("__every").cast("bigint").alias("n_items"),
+        *unpacked("row", keep), F.col("__n").alias("n_words"), F.col("__hit").alias("n_hit"), F.size("__every").cast("bigint").alias("n_items"),
         F.col("__every").alias("items"), F.col("__merged").alias("ranges"),
         ((F.col("__hit") > 0) & (F.lit(20) * F.col("__hit") >= F.col("__n"))).alias("contaminated"),
     )

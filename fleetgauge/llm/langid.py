@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import text_map
+from fleetgauge.llm.common import named, others, text_map
 
 #: Rows of each language looked at for its dictionary, chosen by a hash of their key and text.
 SAMPLE_ROWS = 400
 #: Bytes of each language's dictionary, made of whole lines of those rows.
 DICTIONARY_BYTES = 64 << 10
-#: A line longer than this is left out of dictionaries: it would stand for one document.
-LINE_BYTES = 2048
+#: A longer line, in characters, is cut at blanks into pieces of this length at most, so that it doesn't fill a dictionary alone.
+LINE_CHARS = 500
 #: Effort of the compressor. Lower levels look for matches too coarsely to tell short texts apart.
 LEVEL = 6
 #: Texts with a smaller difference between the best two, in bytes of compressed size, are rejected ...
@@ -59,17 +59,19 @@ def fit(docs: DataFrame, training: Column, text: str = "text", language: str = "
     What reaches the driver is the count of each language and its dictionary.
     No labelled row: a model without languages, which calls every text `und`.
     """
-    rows = docs.where(training & F.col(text).isNotNull() & F.col(language).isNotNull()).select(
-        F.col(language).cast("string").alias("lang"), F.col(key).alias("key"), F.col(text).alias("text")
+    rows = docs.where(training & named(text).isNotNull() & named(language).isNotNull()).select(
+        named(language).cast("string").alias("lang"), named(key).alias("key"), named(text).alias("text")
     )
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model((), ())
     share = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, sample_rows / n)])[F.col("lang")]
     draw = F.pmod(F.xxhash64("key", F.lit("row")), F.lit(1 << 30)) < share * (1 << 30)
+    pieces = F.regexp_extract_all("line", F.lit(rf"(?s).{{1,{LINE_CHARS}}}(?=\s|$)|.{{{LINE_CHARS}}}"), F.lit(0))
+    short = F.when(F.char_length("line") > LINE_CHARS, pieces).otherwise(F.array("line"))
     lines = (
         rows.where(draw).select("lang", F.explode(F.split(F.lower("text"), "\n", -1)).alias("line"))
-        .where((F.octet_length("line") <= LINE_BYTES) & F.col("line").rlike(r"\p{L}")).distinct()
+        .select("lang", F.explode(short).alias("line")).where(F.col("line").rlike(r"\p{L}")).distinct()
         .select("lang", "line", F.xxhash64("line").alias("at"))
     )
     # Of the bounded sample only lines that fit into the dictionary go on: their hash is under a bound
@@ -124,7 +126,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     texts get equal results, since nothing but the text goes in. A tie goes to the first name.
     """
     taken = {"lang_pred", "score", "margin", "rejected"}
-    keep = [c for c in docs.columns if c not in taken] if keep is None else keep
+    keep = others(docs.columns, taken) if keep is None else keep
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def function(texts: pa.Array) -> list[pa.Array]:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import BLANKS, apart, ascii_lower, let
+from fleetgauge.llm.common import BLANKS, apart, ascii_lower, let, named, others, packed, unpacked
 
 #: Normalised lines with fewer code points are never dropped.
 MIN_CHARS = 10
@@ -30,8 +30,8 @@ def line_key(line: Column) -> Column:
 
 def _lines(docs: DataFrame, text: str, key: str, min_chars: int) -> DataFrame:
     """One row per line that is long enough: document, digest of its text, position, and 128 bits of its key."""
-    exploded = docs.where(F.col(key).isNotNull()).select(
-        F.col(key).alias("__id"), F.xxhash64(text).alias("__of"), F.posexplode(split_lines(F.col(text))).alias("__pos", "__line")
+    exploded = docs.where(named(key).isNotNull()).select(
+        named(key).alias("__id"), F.xxhash64(named(text)).alias("__of"), F.posexplode(split_lines(named(text))).alias("__pos", "__line")
     )
     keyed = exploded.select("__id", "__of", "__pos", line_key(F.col("__line")).alias("__key"))
     return keyed.where(F.char_length("__key") >= min_chars).select(
@@ -73,16 +73,13 @@ def drop_repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id"
         lines.join(apart(shared, "__h1"), ["__h1", "__h2"]).where(F.col("__id") != F.col("__first"))
         .groupBy("__id", "__of").agg(F.sort_array(F.collect_set("__pos")).alias("__drop"))
     )
-    plain = docs.drop(*[c for c in ("n_lines", "n_dropped", "kept_text") if c in docs.columns])
-    joined = plain.withColumn("__of", F.xxhash64(text)).join(
-        drops.withColumnRenamed("__of", "__drop_of"),
-        (F.col(f"`{key}`") == F.col("__id")) & (F.col("__of") == F.col("__drop_of")), "left",
-    )
-    cut = joined.select(*[F.col(f"`{c}`") for c in plain.columns], F.col("__drop"), split_lines(F.col(text)).alias("__lines"))
+    plain = others(docs.columns, ("n_lines", "n_dropped", "kept_text"))
+    rows = docs.select(packed(plain).alias("row"), named(key).alias("id"), F.xxhash64(named(text)).alias("of"), named(text).alias("text"))
+    joined = rows.join(drops, (F.col("id") == F.col("__id")) & (F.col("of") == F.col("__of")), "left")
+    cut = joined.select("row", "text", "__drop", split_lines(F.col("text")).alias("lines"))
     return cut.select(
-        *[F.col(f"`{c}`") for c in plain.columns],
-        F.size("__lines").cast("bigint").alias("n_lines"),
+        *unpacked("row", plain), F.size("lines").cast("bigint").alias("n_lines"),
         F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")).cast("bigint").alias("n_dropped"),
-        F.when(F.col("__drop").isNull(), F.coalesce(F.col(text), F.lit("")))
-        .otherwise(F.array_join(_without(F.col("__lines"), F.col("__drop")), "\n")).alias("kept_text"),
+        F.when(F.col("__drop").isNull(), F.coalesce(F.col("text"), F.lit("")))
+        .otherwise(F.array_join(_without(F.col("lines"), F.col("__drop")), "\n")).alias("kept_text"),
     )

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
-from fleetgauge.llm.common import text_map
+from fleetgauge.llm.common import others, text_map
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
@@ -97,7 +97,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", ke
     A null or empty text has no ids. No begin or end ids, no sampling. Repeated rows
     are encoded each. `model` is the path of a model file that every executor can read.
     """
-    keep = [c for c in docs.columns if c not in (text, ids)] if keep is None else keep
+    keep = others(docs.columns, (text, ids)) if keep is None else keep
 
     def function(texts: pa.Array) -> list[pa.Array]:
         return [pa.array(segmenter(model).encode([t or "" for t in texts.to_pylist()]), pa.list_(pa.int32()))]
@@ -121,7 +121,7 @@ def decode(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded")
                 found = [_library(model).decode(x) if x else "" for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).mapInArrow(run, schema)  # the columns' own names may be any
 
 
 def round_trip(docs: DataFrame, model: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -131,7 +131,7 @@ def round_trip(docs: DataFrame, model: str, text: str = "text", keep: list[str]
     digested where they are, instead of passing through the JVM twice.
     """
     made = ("n_tokens", "ids_sha256", "decoded_sha256")
-    keep = [c for c in docs.columns if c not in (text, *made)] if keep is None else keep
+    keep = others(docs.columns, (text, *made)) if keep is None else keep
 
     def function(texts: pa.Array) -> list[pa.Array]:
         own = segmenter(model)

@@ -15,13 +15,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import BLANKS, crc_mod, let
+from fleetgauge.llm.common import BLANKS, crc_mod, let, named, others, packed, unpacked
 
 #: Characters counted as symbols.
 SYMBOLS = r"[#*$%&|<>]"
 _BLANK = r"[\x20\x09-\x0D]"
 #: Thresholds tried for each statistic: quantiles of its values.
 CUTS = 24
+#: The size of the model: conditions of a rule and rules of a list. They bound what is learned and read, not the rows.
 MAX_CONDITIONS = 4
 MAX_RULES = 12
 #: Share of right decisions that a rule must have on the rows it was pruned on, and rows it must cover there.
@@ -64,24 +65,22 @@ def statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
     words; n_symbols: characters of SYMBOLS; n_dup_lines: lines with a word that equal an earlier line;
     n_repeat_words: see `repeated_words`; n_upper: capitals; n_marks: exclamation and question marks.
     """
-    keep = [c for c in docs.columns if c not in (text, *STATISTICS)] if keep is None else keep
-    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    own = docs.select(*[F.col(f"`{c}`") for c in keep], whole.alias("__text"))
-    lines = F.filter(F.split("__text", "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    words = F.array_remove(F.split("__text", f"{_BLANK}+", -1), "")
-    count = lambda regexp: F.regexp_count("__text", F.lit(regexp)).cast("bigint")
+    keep = others(docs.columns, (text, *STATISTICS)) if keep is None else keep
+    own = docs.select(packed(keep).alias("row"), F.coalesce(named(text), F.lit("")).alias("text"))
+    lines = F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
+    words = F.array_remove(F.split("text", f"{_BLANK}+", -1), "")
+    count = lambda regexp: F.regexp_count("text", F.lit(regexp)).cast("bigint")
     facts = let(words, lambda w: F.struct(
         F.size(w).cast("bigint").alias("n_words"),
         F.char_length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
         repeated_words(w).cast("bigint").alias("n_repeat_words"),
     ))
     return own.select(
-        *[F.col(f"`{c}`") for c in keep], facts.alias("__facts"), count(SYMBOLS).alias("n_symbols"),
+        "row", facts.alias("facts"), count(SYMBOLS).alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         count(r"\p{Lu}").alias("n_upper"), count(r"[!?]").alias("n_marks"),
     ).select(
-        *[F.col(f"`{c}`") for c in keep], "__facts.n_words", "__facts.word_chars", "n_symbols", "n_dup_lines",
-        "__facts.n_repeat_words", "n_upper", "n_marks",
+        *unpacked("row", keep), "facts.n_words", "facts.word_chars", "n_symbols", "n_dup_lines", "facts.n_repeat_words", "n_upper", "n_marks",
     )
 
 
@@ -210,9 +209,9 @@ def learn(rows: DataFrame, min_precision: float = MIN_PRECISION, max_rules: int
 
 def training_rows(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
     """Labelled rows as `learn` takes them: label 0 is bad; a third, by a hash of the key, is for pruning."""
-    known = labels.where(F.col(label).isNotNull()).select(F.col(key).alias("__key"), (F.col(label) == 0).alias("bad"))
-    own = stats.join(known, F.col(key) == F.col("__key"))
-    return own.select("bad", (crc_mod(F.col(key), 3) != 0).alias("grow"), *[c.alias(n) for n, c in ratios().items()])
+    known = labels.where(named(label).isNotNull()).select(named(key).alias("of"), (named(label) == 0).alias("bad"))
+    own = stats.select(named(key).alias("id"), F.struct(*[c.alias(n) for n, c in ratios().items()]).alias("facts")).join(known, F.col("id") == F.col("of"))
+    return own.select("bad", (crc_mod(F.col("id"), 3) != 0).alias("grow"), "facts.*")
 
 
 def base_failed() -> Column:
@@ -226,9 +225,10 @@ def judge(stats: DataFrame, rules: list[Rule]) -> DataFrame:
     The list becomes one conditional expression, tried in order. Rows that fail the base limits or meet a
     rule aren't kept. A null text has no words, so it fails. Repeated rows are judged each.
     """
-    named = stats.withColumns(ratios())
+    plain = others(stats.columns, ("base_failed", "rule", "kept"))
+    facts = stats.select(packed(plain).alias("row"), base_failed().alias("base_failed"), *[c.alias(n) for n, c in ratios().items()])
     rule = F.lit(None).cast("int")
     for i, r in reversed(list(enumerate(rules, 1))):
         rule = F.when(r.expression(), F.lit(i)).otherwise(rule)
-    out = named.withColumn("base_failed", base_failed()).withColumn("rule", rule)
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).drop(*ratios())
+    out = facts.select("row", "base_failed", rule.alias("rule"))
+    return out.select(*unpacked("row", plain), "base_failed", "rule", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import slices
+from fleetgauge.llm.common import slices, others
 
 #: Who gets a token that crosses a boundary: the section of its first byte, of its last byte, the one
 #: with most of its bytes (of equal ones the first), or each its share of the bytes.
@@ -126,7 +126,7 @@ def attribute(docs: DataFrame, text: str = "text", starts: str | None = None, ru
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     taken = {"n_tokens", "section_tokens", "crossing"}
-    keep = [c for c in docs.columns if c not in taken] if keep is None else keep
+    keep = others(docs.columns, taken) if keep is None else keep
     path, split = vocabulary or vocabulary_path(), splits or pattern()
     from pyspark.sql.types import StructType
 
@@ -160,4 +160,4 @@ def attribute(docs: DataFrame, text: str = "text", starts: str | None = None, ru
                 made = [pa.array(counts, pa.int64()), pa.array(sections, kind), pa.array(crossing, pa.int64())]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + made, names=schema.names)
 
-    return own.mapInArrow(run, schema)
+    return own.toDF(*[f"c{i}" for i in range(len(own.columns))]).mapInArrow(run, schema)  # the columns' own names may be any

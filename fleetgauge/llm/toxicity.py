@@ -10,6 +10,8 @@ sums gives the score.
 from __future__ import annotations
 
 import math
+import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.llm import bytescan
-from fleetgauge.llm.common import BLANKS, ascii_lower, slices, stored, text_map
+from fleetgauge.llm.common import BLANKS, named, others, slices, stored, text_map
 
 #: Labelled rows of each label that are learned from, drawn by a hash of key and text.
 SAMPLE_ROWS = 20_000
@@ -50,6 +52,7 @@ SPEAKING = frozenset(
 )
 _PAIRS = ("“”", "„“", "«»", "»«", "‹›")
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„«»‹›…–—¡¿’‘"
+_MARKS = re.compile(r"[\W_]+")
 #: Signs written for letters (fixed values).
 _SIGNS = str.maketrans("013457@$", "oleastas")
 
@@ -149,6 +152,15 @@ class Lexicon:
         return None
 
 
+    def match_any(self, word: str) -> tuple[str, int] | None:
+        """What `match` finds for the word, or else for one of its parts between marks: of several the first without an edit."""
+        found = self.match(word)
+        if found is None and not word.isalnum():
+            hits = [h for part in _MARKS.split(word) if part and part != word and (h := self.match(part))]
+            found = min(hits, key=lambda h: h[1], default=None)
+        return found
+
+
 def _quoted(text: str, begin: int, end: int, before: list[str]) -> bool:
     """The place stands between quotation marks, or right after a word about words."""
     left, right = text[:begin], text[end:]
@@ -169,9 +181,8 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
         return out
     _, at = np.unique(found.hashes, return_index=True)
     known: dict[int, tuple[str, int]] = {}
-    length = found.ends - found.starts
-    for i in at[length[at] <= 4 * lexicon.longest + 16]:
-        hit = lexicon.match(normal(found.data[found.starts[i] : found.ends[i]].tobytes().decode("utf-8", "replace")))
+    for i in at:
+        hit = lexicon.match_any(normal(found.data[found.starts[i] : found.ends[i]].tobytes().decode("utf-8", "replace")))
         if hit:
             known[int(found.hashes[i])] = hit
     if not known:
@@ -231,8 +242,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _sample(docs: DataFrame, labels: DataFrame, training: Column, text: str, key: str, label: str, rows: int) -> DataFrame:
     """(text, toxic): about `rows` distinct labelled training texts of each label, drawn by a hash."""
-    known = labels.where(F.col(label).isNotNull()).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("toxic")).distinct()
-    own = docs.where(training & F.col(text).isNotNull()).select(F.col(key).alias("__id"), F.col(text).alias("text"))
+    known = labels.where(named(label).isNotNull()).select(named(key).alias("__key"), named(label).cast("int").alias("toxic")).distinct()
+    own = docs.where(training & named(text).isNotNull()).select(named(key).alias("__id"), named(text).alias("text"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).where("toxic in (0, 1)").collect()}
     share = F.lit(0.0)
     for value, n in sizes.items():
@@ -250,7 +261,7 @@ def _terms(sample: DataFrame) -> tuple[dict[str, float], DataFrame]:
     bad, clean = totals["bad"] or 0, totals["n"] - (totals["bad"] or 0)
     tidy = F.btrim(F.col("w"), F.lit(_STRIP))
     words = (
-        texts.select("toxic", F.explode(F.array_distinct(F.split(ascii_lower(F.col("text")), f"[{BLANKS}]+", -1))).alias("w"))
+        texts.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), f"[{BLANKS}]+", -1))).alias("w"))
         .select("toxic", tidy.alias("w")).where("char_length(w) between 3 and 40")
         .groupBy("w").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("clean"))
     )
@@ -263,7 +274,10 @@ def _terms(sample: DataFrame) -> tuple[dict[str, float], DataFrame]:
         .where(pure & (F.col("n") >= STEM_WORDS)).select(F.concat("s", F.lit("*")).alias("term"), weight.alias("weight"))
     )
     own = words.where(pure).select(F.col("w").alias("term"), weight.alias("weight")).unionAll(stems)
-    rows = own.where("weight > 0").orderBy(F.desc("weight"), "term").limit(MAX_TERMS).collect()
+    rows = own.where("weight > 0").orderBy(F.desc("weight"), "term").limit(MAX_TERMS + 1).collect()
+    if len(rows) > MAX_TERMS:
+        warnings.warn(f"the lexicon is full: terms after the first {MAX_TERMS} by weight are left out", stacklevel=2)
+        rows = rows[:MAX_TERMS]
     terms = {r["term"]: float(r["weight"]) for r in rows}
     # A shorter stem says what a longer one and the words that begin with it say.
     covered = {t for t in terms if any(t != s and t.rstrip("*").startswith(s[:-1]) for s in {f"{t[:k]}*" for k in STEMS} & terms.keys())}
@@ -317,7 +331,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     Null and empty texts, and texts without a term, get the score of a text without terms. Equal texts get
     equal scores; only the text is read.
     """
-    keep = [c for c in docs.columns if c not in ("score", "predicted")] if keep is None else keep
+    keep = others(docs.columns, ("score", "predicted")) if keep is None else keep
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def function(texts: pa.Array) -> list[pa.Array]:
