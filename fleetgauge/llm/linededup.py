@@ -77,9 +77,10 @@ def drop_repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id"
     rows = docs.select(packed(plain).alias("row"), named(key).alias("id"), F.xxhash64(named(text)).alias("of"), named(text).alias("text"))
     joined = rows.join(drops, (F.col("id") == F.col("__id")) & (F.col("of") == F.col("__of")), "left")
     cut = joined.select("row", "text", "__drop", split_lines(F.col("text")).alias("lines"))
-    return cut.select(
-        *unpacked("row", plain), F.size("lines").cast("bigint").alias("n_lines"),
+    made = cut.select(
+        "row", F.size("lines").cast("bigint").alias("n_lines"),
         F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")).cast("bigint").alias("n_dropped"),
         F.when(F.col("__drop").isNull(), F.coalesce(F.col("text"), F.lit("")))
         .otherwise(F.array_join(_without(F.col("lines"), F.col("__drop")), "\n")).alias("kept_text"),
     )
+    return made.select(*unpacked("row", plain), "n_lines", "n_dropped", "kept_text")

@@ -117,7 +117,7 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     assert two.schema == df.schema and plain(two) == [(i, t) for i, _, _, t in sorted(brute_lines(plain(one)))]
     assert all(r["n_chars"] == len(r["text"]) for r in two.collect())
     three = stages["near_dedup"](spark, two, folder)
-    kept = {i for i, _, _, k in brute_near(plain(two)) if k}
+    kept = {i for i, _, _, k in brute_near(plain(two), corpus_pipeline.PERCENT) if k}
     assert three.schema == df.schema and plain(three) == [x for x in plain(two) if x[0] in kept]
     four = stages["decontamination"](spark, three, folder)
     clean = {r[0] for r in brute_hits(plain(three), items) if not r[5]}
@@ -131,6 +131,23 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     assert {r["doc_id"]: (r["n_tokens"], r["ids"]) for r in corpus_pipeline.run(spark, folder).collect()} == want
 
 
+def test_stages_pass_columns_of_any_name(spark, tmp_path):
+    """Columns named like results, like names used inside, or with dots come out of every filtering stage as they went in."""
+    odd = ["rejected", "Score", "lang_pred", "__of", "__drop", "lines", "kept_text", "N_LINES", "__id", "kept", "id", "row", "rest", "of",
+           "n_words", "items", "Ranges", "contaminated", "__n", "__merged", "__ranges0", "a.b", "c 0", "c1"]
+    texts = invented(33, 6, 30)
+    rows = [(i, t, "xx", "s", len(t), *[f"{c}{i}" for c in odd]) for i, t in enumerate(texts)]
+    ddl = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in odd)
+    docs = spark.createDataFrame(rows, ddl)
+    spark.createDataFrame([(1, "nothing of the kind")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns, name
+        assert sorted(tuple(r) for r in got.collect()) == rows, name
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert last.columns == ["doc_id", "lang", "source", "n_tokens", "ids"] and last.count() == len(rows)
+
+
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, FOLDER)
     assert 0 < out.count() < spark.read.parquet(f"{FOLDER}/documents.parquet").count()
