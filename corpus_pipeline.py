@@ -12,33 +12,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge.llm import decontam, langid, linededup, neardup, pieces
-from fleetgauge.llm.common import crc_mod, ready, stored, table
+from fleetgauge.llm.common import crc_mod, named, others, packed, ready, stored, table, unpacked
+
+#: Near copies share this percentage of their shingles; op3's own limit is another.
+PERCENT = 80
+
+
+class Kept:
+    """A stage's documents with the columns it works on by name and all others in one, so that no name meets a result's."""
+
+    def __init__(self, docs: DataFrame, used: list[str]):
+        self.columns, self.used = docs.columns, used
+        self.rest = others(docs.columns, used)
+        self.docs = docs.select(*[named(c) for c in used], packed(self.rest).alias("rest"))
+
+    def back(self, df: DataFrame) -> DataFrame:
+        """`df` with the columns of the stage's documents."""
+        order = {c.lower(): i for i, c in enumerate(self.columns)}
+        found = [named(c) for c in self.used] + unpacked("rest", self.rest)
+        at = [order[c.lower()] for c in (*self.used, *self.rest)]
+        return df.select(*[found[at.index(i)] for i in range(len(self.columns))])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; null, letterless and undecided texts go."""
     ready(spark)
-    model = langid.fit(docs, crc_mod(F.col("doc_id"), 4) != 2)
-    return langid.identify(docs, model).where(~F.col("rejected")).select(*docs.columns)
+    own = Kept(docs, ["doc_id", "text", "lang"])
+    model = langid.fit(own.docs, crc_mod(F.col("doc_id"), 4) != 2)
+    return own.back(langid.identify(own.docs, model).where(~F.col("rejected")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the lines that an earlier one has; n_chars follows the text."""
     ready(spark)
-    found = linededup.drop_repeated_lines(docs).withColumn("text", F.col("kept_text"))
-    return found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    own = Kept(docs, ["doc_id", "text", "n_chars"])
+    found = linededup.drop_repeated_lines(own.docs).withColumn("text", F.col("kept_text"))
+    return own.back(found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
+    """One document of each group of near copies (PERCENT): the one with the smallest id."""
     ready(spark)
-    return neardup.drop_near_copies(docs).select(*docs.columns)
+    return neardup.drop_near_copies(docs, percent=PERCENT)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark items."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    own = Kept(docs, ["doc_id", "text"])
+    return own.back(decontam.contamination(own.docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
