@@ -39,8 +39,8 @@ MASS = 16 << 20
 #: Bits of the filter between the passes, whatever the size of the data: it is sent to all tasks.
 FILTER_BITS = 1 << 27
 #: Bytes of text read at a time, words whose phrases are counted at a time, and phrases that a task gathers before it sends them.
-SLICE = 4 << 20
-BLOCK = 1 << 19
+SLICE = 1 << 20
+BLOCK = 1 << 18
 GATHER = 1 << 21
 
 _BLANKS, _BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
@@ -163,7 +163,9 @@ def _task_summaries(partitions: int, longest: int):
     """
 
     def send(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        key, count = _merged(np.concatenate([h for h, _ in held]), np.concatenate([c for _, c in held]))
+        key, count = np.concatenate([h for h, _ in held]), np.concatenate([c for _, c in held])
+        held.clear()
+        key, count = _merged(key, count)
         # The upper half of a hash, spread over the partitions, grows with it: partitions are ranges of the sorted keys.
         part = ((key >> np.uint64(32)) * np.uint64(partitions)) >> np.uint64(32)
         rest = key.astype(np.uint32)
@@ -187,9 +189,10 @@ def _task_summaries(partitions: int, longest: int):
                     size += len(g.hash)
                 if size >= GATHER:
                     yield send(held)
-                    held, size = [], 0
+                    size = 0
         if held:
             yield send(held)
+        pa.default_memory_pool().release_unused()
 
     return run
 
