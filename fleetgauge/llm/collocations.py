@@ -5,7 +5,7 @@ Two passes over the texts count the phrases that occur at least `least` times.
 1. Occurrences are hashed, and a phrase's hash tells its hash partition. Each partition has a
    Misra-Gries summary: counters for at most `capacity` phrases. Tasks summarise what they read, summaries
    of a partition are merged, and where a merge holds too many, the count of the first beyond capacity is taken from
-   all. What was taken in total stays under mass / (capacity + 1). As the capacity is the mass divided by
+   all. What was taken in total stays under mass / (capacity + 1). As the capacity is at least the mass divided by
    the threshold, whole part, each phrase that reaches the threshold is still there, and
    a phrase whose count and all that was taken don't reach it is not frequent.
 2. What survived sets bits in a filter of fixed size. The second pass counts the phrases
@@ -35,7 +35,10 @@ TOP = 2000
 #: A phrase goes if a longer one that holds it has at least this percentage of its occurrences.
 INSIDE_PERCENT = 50
 #: Occurrences of a hash partition at most, by the number of bytes of the texts: what one merging task holds.
-MASS = 16 << 20
+MASS = 8 << 20
+#: A summary's capacity as a multiple of the mass divided by the threshold. One suffices; more leave less to be taken
+#: from the counters, so that fewer phrases survive which aren't frequent.
+SPARE = 4
 #: Bits of the filter between the passes, whatever the size of the data: it is sent to all tasks.
 FILTER_BITS = 1 << 27
 #: Bytes of text read at a time, words whose phrases are counted at a time, and phrases that a task gathers before it sends them.
@@ -227,7 +230,7 @@ def _survivors(least: int, bits: int):
             one = np.frombuffer(once, np.uint32)
             parts.append((np.concatenate([one, np.frombuffer(more, np.uint32)]), np.concatenate([np.ones(len(one), np.int64), np.frombuffer(counts, np.int64)])))
         mass = sum(rows.column("mass").to_pylist())
-        key, count, taken = merge_summaries(parts, mass // least)
+        key, count, taken = merge_summaries(parts, SPARE * (mass // least))
         key = key[count + taken >= least]
         held = np.zeros(bits, np.uint8)
         held[_filter_bits(key, bits).astype(np.int64)] = 1
