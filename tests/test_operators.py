@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 import hashlib
 import hmac
 
@@ -289,6 +290,33 @@ def test_redaction(spark):
             json.loads(masked)
 
 
+def invented_json(draw, depth=0):
+    """A value of random shape, as the text a careless writer makes of it."""
+    blank = lambda: draw.choice(["", "", " ", "\n", " \t"])
+    word = lambda: draw.choice(["a", "token", "My Key", "Zip code", "x,[", "né", "toKen", r"\"q\"", r"api_key", r"\\", "pass: word", "{cc}", ""])
+    kind = draw.random()
+    if depth > 3 or kind < 0.45:
+        return draw.choice([f'"{word()}"', f'"{word()}"', "1", "-0.5e+3", "true", "null", "12345678901234567890.10"])
+    inner = [invented_json(draw, depth + 1) for _ in range(draw.randint(0, 3))]
+    if kind < 0.6:
+        return "[" + blank() + f"{blank()},{blank()}".join(inner) + blank() + "]"
+    pairs = [f'"{word()}"{blank()}:{blank()}{v}' for v in inner]
+    return "{" + blank() + f"{blank()},{blank()}".join(pairs) + blank() + "}"
+
+
+def test_redaction_in_the_jvm_equals_the_token_walk(spark):
+    draw = random.Random(12)
+    texts = [invented_json(draw) for _ in range(1500)] + [t[:-1] for t in (invented_json(draw) for _ in range(100))]
+    texts += ['{"a": 1, "a": 2}', '{"a":1}}', '{"a":1} x', '{"token": NaN}', "{'token': 1}", '{"token": 01}', '{"token": "a\tb"}', '{"x":"' + "y" * 300_000 + '","key":1}',
+              r'{"note": "\"token\": 5", "k": ["token", ": 1"]}', '﻿{"token":1}', '{"token":1}\x0b', '{"token"\x0b:1}', '{"a": +1}', '{"a": .5}', '{"key": 1.}', "[1] [2]"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, b string").repartition(4)
+    got = {r["i"]: r["b"] for r in df.select("i", redact.redact_json("b").alias("b")).collect()}
+    want = {i: redact.mask_text(t) for i, t in enumerate(texts)}
+    assert {i: (texts[i], got[i], want[i]) for i in want if got[i] != want[i]} == {}
+    easy = [i for i, t in enumerate(texts) if want[i] != '"[REDACTED]"' and "\\" not in t and "\u212a" not in t]
+    assert len(easy) > 500 and sum("[REDACTED]" in want[i] for i in easy) > 50
+
+
 def test_redaction_by_schema(spark):
     df = spark.createDataFrame([('{"user":"u","token":"t","items":[{"zip":"1","n":2}]}',), ("{",), (None,)], "b string")
     found = df.select(redact.redact_json("b", "user string, token string, items array<struct<zip: string, n: int>>").alias("b"))
