@@ -5,6 +5,7 @@ from fleetgauge.plans import (  # noqa: F401
     model_queries,
     resilience_queries,
     traffic_queries,
+    user_queries,
 )
 from fleetgauge.plans.registry import all_queries, all_sql
 
