@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetgauge.sources.jsonarray import RANGE_BYTES, read_json_array
 from fleetgauge.sources.npy import read_npy
 
 CORRUPT = "_corrupt_record"
+#: Ends of names of compressed files.
+PACKED = (".gz", ".bz2", ".zst")
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options) -> DataFrame:
@@ -24,11 +27,13 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return reader.schema(schema).csv(path) if schema is not None else reader.csv(path, inferSchema=True)
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, orient: str = "lines", **options) -> DataFrame:
+def read_json(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, orient: str = "lines", range_bytes: int = RANGE_BYTES, **options
+) -> DataFrame:
     """JSON: "lines" (one object per line), "array" (a file is one array of objects), "columns" (one object of columns).
 
-    Lines are the form for large data: their files are split. A file of the other forms is parsed
-    by one task, in memory.
+    Files of lines are split, and so are arrays with a schema, into ranges of `range_bytes`. Arrays that are
+    compressed or whose schema is to be inferred, and columns, are parsed by one task a file, in memory.
 
     The column form {"a": {"0": 1, "1": 2}} is turned by exploding every column
     into (row, column, value) and gathering the cells by row; `schema` names and
@@ -36,6 +41,8 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
     """
     if orient not in ("lines", "array", "columns"):
         raise ValueError(f"orient must be lines, array or columns, not {orient}")
+    if orient == "array" and schema is not None and not path.lower().endswith(PACKED):
+        return read_json_array(spark, path, schema, range_bytes, **options)
     if orient != "columns":
         reader = spark.read.options(multiLine=orient == "array", **options)
         return (reader.schema(schema) if schema is not None else reader).json(path)
@@ -61,7 +68,7 @@ def read_parquet(spark: SparkSession, path: str, **options) -> DataFrame:
 
 def _damaged(spark: SparkSession, files: list[str]) -> list[str]:
     """Compressed files that don't decompress to their end; each is streamed through by a task."""
-    packed = [f for f in files if f.lower().endswith((".gz", ".bz2", ".zst"))]
+    packed = [f for f in files if f.lower().endswith(PACKED)]
     if not packed:
         return []
 
