@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline as MLPipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -159,18 +158,68 @@ def preprocess(df: DataFrame, **options) -> tuple[DataFrame, list[Step]]:
     return transform(df, steps), steps
 
 
-def encode_wide(df: DataFrame, columns: list[str]):
-    """One-hot vectors for columns with many categories: returns the frame and the fitted MLlib model.
+def dictionary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, code): the distinct known values of each column with their alphabetical codes from 0.
 
-    Unknown categories at transform give an all-zero vector.
+    Distinct values are dealt out by ranges of (column, value) and numbered within each; the counts of the column's
+    ranges before are added. No column's values come together in one task or on the driver.
     """
-    index = StringIndexer(
-        inputCols=columns, outputCols=[f"{c}__index" for c in columns], stringOrderType="alphabetAsc", handleInvalid="keep"
-    )
-    # The extra index of unknown values is the last one, which dropLast leaves out.
-    hot = OneHotEncoder(inputCols=index.getOutputCols(), outputCols=[f"{c}_vector" for c in columns], dropLast=True)
-    model = MLPipeline(stages=[index, hot]).fit(df)
-    return model.transform(df).drop(*index.getOutputCols(), *columns), model
+    values = category_counts(df, columns).where(F.col("value").isNotNull()).select("column", "value")
+    ranged = cut(values.repartitionByRange("column", "value").withColumn("range", F.spark_partition_id()))
+    before = Window.partitionBy("column").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per column and range.
+    counts = ranged.groupBy("column", "range").agg(F.count("*").alias("n"))
+    offsets = counts.select("column", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    number = F.row_number().over(Window.partitionBy("column", "range").orderBy("value")) - 1
+    return ranged.withColumn("number", number).join(offsets, ["column", "range"]).select("column", "value", (F.col("number") + F.col("offset")).cast("int").alias("code"))
+
+
+@dataclass(frozen=True)
+class WideEncoder:
+    """One-hot vectors by a dictionary that stays a table; only the number of values of each column is known here."""
+
+    columns: tuple[str, ...]
+    codes: DataFrame
+    sizes: dict[str, int]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """`df` with a sparse vector {column}_vector in place of each column; null and unknown values give all zeros.
+
+        Each column is joined with its part of the dictionary. A value that many rows have is a skewed join key, which
+        adaptive execution splits.
+        """
+        at = [f"{c}__code" for c in self.columns]
+        for c, code in zip(self.columns, at, strict=True):
+            own = self.codes.where(F.col("column") == c).select(F.col("value").alias("__value"), F.col("code").alias(code))
+            joined = df.join(own, F.col(f"`{c}`") == F.col("__value"), "left").drop("__value", F.col(f"`{c}`"))
+            df = joined.withColumn(code, F.coalesce(F.col(f"`{code}`"), F.lit(self.sizes[c])))
+        # The index after the last value is that of unknown ones, which dropLast leaves out.
+        known = df.sparkSession.createDataFrame([tuple(self.sizes[c] for c in self.columns)], at)
+        hot = OneHotEncoder(inputCols=at, outputCols=[f"{c}_vector" for c in self.columns], dropLast=True).fit(known)
+        return hot.transform(df).drop(*at)
+
+    def save(self, path: str) -> None:
+        self.codes.write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> WideEncoder:
+        codes = spark.read.parquet(path)
+        return WideEncoder._of(codes)
+
+    @staticmethod
+    def _of(codes: DataFrame, columns: list[str] | None = None) -> WideEncoder:
+        sizes = {r["column"]: r["n"] for r in codes.groupBy("column").agg(F.count("*").alias("n")).collect()}
+        names = columns if columns is not None else sorted(sizes)
+        return WideEncoder(tuple(names), codes, {c: sizes.get(c, 0) for c in names})
+
+
+def encode_wide(df: DataFrame, columns: list[str]) -> tuple[DataFrame, WideEncoder]:
+    """One-hot vectors for columns with many categories: the frame, and the encoder for other frames.
+
+    Values are coded in alphabetical order. Unknown values at transform give an all-zero vector.
+    """
+    encoder = WideEncoder._of(cut(dictionary(df, columns)), columns)
+    return encoder.transform(df), encoder
 
 
 # Single steps ------------------------------------------------------------------------

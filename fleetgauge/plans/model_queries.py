@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.functions.common import with_total
-from fleetgauge.operators import evaluation, features, models
+from fleetgauge.operators import evaluation, features, models, networks
 from fleetgauge.plans.pipeline import declared_pipeline
 from fleetgauge.plans.registry import query
 from fleetgauge.plans.traffic_queries import BY_TIME, rounded
@@ -241,6 +241,17 @@ def _(v: Views) -> DataFrame:
     return models.score_batch(trained, wide, ["vec_id", "label"])
 
 
+@query("train_network", "", """
+SELECT round(regr_r2(n_chars, words), 3) AS r2, count(*) AS documents FROM (SELECT n_chars, len(string_split(text, ' ')) AS words FROM documents)""")
+def _(v: Views) -> DataFrame:
+    """A network without hidden layers is a linear model: what its steps find explains as much as the closed solution."""
+    docs = v.documents.select("n_chars", F.size(F.split("text", " ", -1)).alias("words"))
+    trained = networks.train_network(docs, ["words"], "n_chars", hidden=(), dropout=0.0, learning_rate=0.2, max_iter=60)
+    scored = networks.predict(trained, docs, ["n_chars"])
+    found = evaluation.regression_metrics(scored.withColumn("n_chars", F.col("n_chars").cast("double")), "n_chars", "prediction")
+    return found.select(F.round("r2", 3).alias("r2"), F.lit(docs.count()).alias("documents"))
+
+
 @query("cross_validate")
 def _(v: Views) -> DataFrame:
     scores = models.cross_validate(_doc_frame(v), _DOC_FEATURES, "label", "random_forest_classifier", "doc_id", folds=5, params={"numTrees": 5, "maxDepth": 3})

@@ -70,6 +70,24 @@ def test_wide_encoding(spark):
     assert sum(unseen.first()["v"]) == 0
 
 
+def test_wide_encoding_of_several_columns(spark, tmp_path, monkeypatch):
+    """Many values over many ranges; nulls, values of one column that are unknown in the other; nothing but sizes on the driver."""
+    key = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.format_string("v%06d", F.col("id") % 20_011))
+    df = spark.range(60_000).select("id", key.alias("a"), F.when(F.col("id") % 7 > 0, F.concat(F.lit("w"), F.col("id") % 5)).alias("the b"))
+    monkeypatch.setattr(features, "_categories", None)
+    out, encoder = features.encode_wide(df, ["a", "the b"])
+    names = sorted({r["a"] for r in df.select("a").distinct().collect()})
+    assert encoder.sizes == {"a": len(names), "the b": 5} and out.columns == ["id", "a_vector", "the b_vector"]
+    want = {r["id"]: (names.index(r["a"]), None if r["the b"] is None else int(r["the b"][1:])) for r in df.where("id % 977 = 0").collect()}
+    got = out.where("id % 977 = 0").collect()
+    assert all(r["a_vector"].size == len(names) and list(r["a_vector"].indices) == [want[r["id"]][0]] and list(r["a_vector"].values) == [1.0] for r in got)
+    assert all(list(r["the b_vector"].indices) == ([] if want[r["id"]][1] is None else [want[r["id"]][1]]) for r in got) and len(got) == len(want)
+    encoder.save(str(tmp_path / "codes"))
+    again = features.WideEncoder.load(spark, str(tmp_path / "codes"))
+    other = again.transform(spark.createDataFrame([("hot", "w3"), ("new", None), (None, "hot")], "a string, `the b` string"))
+    assert sorted((list(r["a_vector"].indices), list(r["the b_vector"].indices)) for r in other.collect()) == sorted([([names.index("hot")], [3]), ([], []), ([], [])])
+
+
 def test_state_round_trip(spark, frame, tmp_path):
     steps = features.fit(frame, ["x"], ["c"])
     features.save_state(spark, steps, str(tmp_path / "state"))

@@ -332,6 +332,23 @@ def test_typed_redaction(spark):
                    "headers": {"token": "[REDACTED]", "x": "y"}, "items": [{"zip": "[REDACTED]", "n": 2}]}
 
 
+def test_keys_out_of_the_plan(spark):
+    """Signing and encryption with a key column: the results of the bytes, and no plan shows the key in any spelling."""
+    df = spark.createDataFrame([("m1",), ("",), (None,), ("ünï",)], "m string")
+    for key in (b"k", b"0123456789abcdef", b"x" * 64, bytes(range(100))):
+        hidden = crypto.secret(spark, key)
+        both = df.select(crypto.hmac_sha256("m", key).alias("a"), crypto.hmac_sha256("m", hidden).alias("b"))
+        assert all(r["a"] == r["b"] for r in both.collect())
+    key = b"0123456789abcdef"
+    hidden = crypto.secret(spark, key)
+    tokens = df.select("m", crypto.encrypt_column("m", hidden).alias("t"), crypto.hmac_sha256("m", hidden).alias("s"))
+    back = tokens.select("m", crypto.decrypt_column("t", hidden).alias("p"), crypto.hmac_matches("m", "s", hidden).alias("ok"))
+    assert all(r["m"] == r["p"] and r["ok"] == (r["m"] is not None) for r in back.collect())
+    for frame in (tokens, back):
+        shown = frame._jdf.queryExecution().toString()
+        assert not any(x in shown for x in ("0123456789abcdef", key.hex(), key.hex().upper(), "MDEyMzQ1Njc4OWFiY2RlZg", "48, 49, 50"))
+
+
 def test_log_search_is_literal(spark):
     df = spark.createDataFrame([(1, at(0), "INFO", "api", "a.b"), (2, at(1), "INFO", "api", "aXb"), (3, at(2), "DEBUG", "api", "A.B")],
                                "id int, ts timestamp, level string, component string, message string")
