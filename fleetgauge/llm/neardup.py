@@ -194,7 +194,7 @@ def with_ids(df: DataFrame, key: str, ids: DataFrame, how: str) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs whose full shingle sets have the similarity. `pairs` must be stored; `docs`: id, text."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")  # counted and joined
     texts = with_ids(docs, "id", ids, "left_semi")
     both = (
         pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
