@@ -175,6 +175,40 @@ def test_near_copies_of_a_divided_family(spark, monkeypatch):
     assert [tuple(r) for r in found.orderBy("doc_id").collect()] == want
 
 
+def test_candidates_grow_with_the_members_of_a_family(spark, monkeypatch):
+    """Texts that mostly differ by a little more than the limit: twice as many give about twice as many pairs, not four times."""
+    seen = []
+    keep = neardup.stored
+
+    def counted(df, name):
+        out = keep(df, name)
+        seen.append(out.count() if name == "pairs" else 0)
+        return out
+
+    monkeypatch.setattr(neardup, "stored", counted)
+    totals = []
+    for n in (150, 300):
+        draw = random.Random(21)
+        base = [f"w{k}" for k in range(60)]
+        texts = []
+        for _ in range(n):
+            own = list(base)
+            own[draw.randrange(60)] = draw.choice("abcdef") * 5
+            texts.append(" ".join(own))
+        seen.clear()
+        neardup.near_copies(documents(spark, texts)).collect()
+        totals.append(sum(seen))
+    assert 0 < totals[1] < 2.8 * totals[0] and totals[1] < 64 * 300
+
+
+def test_rows_that_repeat_ids_are_not_multiplied(spark):
+    docs = [(5, "one two three four five six seven eight nine ten")] * 30 + [(6, "one two three four five six seven eight nine ten eleven")] * 30
+    got = neardup.near_copies(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert sorted((r["doc_id"], r["component_id"], r["n_shingles"]) for r in got.collect()) == [(5, 5, 6)] * 30 + [(6, 5, 7)] * 30
+    more = neardup.near_copies(spark.createDataFrame([*docs, (6, "another text of some six words")], "doc_id bigint, text string"))
+    assert sorted((r["doc_id"], r["n_shingles"]) for r in more.collect()) == [(5, 6)] * 30 + [(6, 2)] + [(6, 7)] * 30
+
+
 def test_components(spark):
     draw = random.Random(8)
     links = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 40)] + [(draw.randrange(500, 600), draw.randrange(500, 600)) for _ in range(60)] + [(7, 7)]

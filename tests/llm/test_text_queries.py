@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 import corpus_pipeline
 from check import kind, table
-from fleetgauge.llm import pieces, queries
-from fleetgauge.llm.common import crc_mod
+from fleetgauge.llm import langid, pieces, quality, queries, tokencount, toxicity
+from fleetgauge.llm.common import crc_mod, stored
 from fleetgauge.plans.views import TABLES
-from test_documents import brute_hits, brute_lines, brute_near, brute_stats, invented
+from test_documents import brute_hits, brute_lines, brute_near, brute_stats, distance, invented
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
@@ -74,6 +74,111 @@ def test_language(spark, docs):
     assert {r["lang_pred"] for r in got.values()} <= {d["lang"] for d in docs} | {"und"}
 
 
+def test_language_by_plain_compression(spark, docs):
+    """One call of the compressor per language and piece; the smallest sum, of equal ones the first name, and its lead."""
+    import zstandard
+
+    table_of = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    model = langid.fit(table_of, crc_mod(F.col("doc_id"), 4) != 2)
+    got = {r["doc_id"]: r for r in queries.queries()["op6_language_id"](spark, FOLDER).collect()}
+    made = []
+    for content in model.contents:
+        own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        own.precompute_compress(level=langid.LEVEL)
+        made.append(zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False))
+    for d in docs:
+        r = got[d["doc_id"]]
+        if not any(c.isalpha() for c in d["text"] or ""):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        data = d["text"].lower().encode()
+        n = max(1, -(-len(data) // langid.PIECE_BYTES))
+        sums = {lang: sum(len(c.compress(data[i * len(data) // n : (i + 1) * len(data) // n])) for i in range(n)) for lang, c in zip(model.languages, made)}
+        best = min(sums.values())
+        second = min(v for lang, v in sums.items() if lang != r["lang_pred"])
+        assert sums[r["lang_pred"]] == best and all(v > best for lang, v in sums.items() if lang < r["lang_pred"])
+        assert r["margin"] == second - best and r["rejected"] == (r["margin"] < langid.MIN_MARGIN_BYTES or (second - best) / best < langid.MIN_MARGIN)
+
+
+def test_toxicity_by_a_scan_of_all_terms(spark, docs):
+    """Scores with the learned terms looked up by the table of edit distances, term after term."""
+    import pyarrow as pa
+
+    class Scan(toxicity.Lexicon):
+        def match(self, word):
+            if len(word) <= 2 or word in self.harmless:
+                return None
+            plain = word.translate(toxicity._SIGNS)
+            for own, edits in ((word, 0), (plain, 1)):
+                stems = [t for t in self.terms if t.endswith("*") and own.startswith(t[:-1])]
+                if own in self.terms or stems:
+                    return (own if own in self.terms else max(stems, key=len)), edits
+            for own in dict.fromkeys((word, plain)):
+                near = [t for t in self.terms if self._fuzzy(t) and abs(len(t) - len(own)) <= 1 and distance(own, t) <= 1]
+                if near:
+                    return max(near, key=lambda t: (self.terms[t], t)), 1
+            return None
+
+    held = crc_mod(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet").where(~held), ~held)
+    scan = Scan(model.lexicon.terms, model.lexicon.harmless, model.lexicon.literal)
+    want = model.score(toxicity.features(pa.array([d["text"] for d in docs], pa.string()), scan))
+    got = {r["doc_id"]: r["score"] for r in queries.queries()["op9_toxicity"](spark, FOLDER).collect()}
+    assert max(abs(got[d["doc_id"]] - w) for d, w in zip(docs, want, strict=True)) < 1e-9
+
+
+def test_long_and_joined_words_are_looked_up():
+    import pyarrow as pa
+
+    lexicon = toxicity.Lexicon({"gromble": 3.0})
+    texts = ["gromble" + "!" * 500, "gromble,gromble", "a/gromble/b", "x" * 5000 + ",gromble", "an-gromblle", "grombles-x", "nothing,here", "x" * 5000]
+    found = toxicity.features(pa.array(texts), lexicon)[:, 0] > 0
+    assert found.tolist() == [True] * 6 + [False] * 2
+
+
+def test_token_counts_by_another_library(spark, docs):
+    """Every token of the other library's encoding belongs to the line of its first byte."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    other.encode_special_tokens = True
+    size = tokencount.encoder(tokencount.vocabulary_path(), tokencount.pattern())[0].decode_single_token_bytes
+    got = {r["doc_id"]: r for r in queries.queries()["op10_token_counts"](spark, FOLDER).collect()}
+    for d in docs:
+        data = (d["text"] or "").encode()
+        ids = other.encode(d["text"] or "", add_special_tokens=False).ids
+        line, at, counts, crossing = 0, 0, [0] * (data.count(b"\n") + 1), 0
+        for i in ids:
+            n = len(size(i))
+            counts[line] += 1
+            crossing += b"\n" in data[at : at + n - 1]
+            line += data[at : at + n].count(b"\n")
+            at += n
+        r = got[d["doc_id"]]
+        assert r["n_tokens"] == len(ids) and r["section_tokens"] == ",".join(map(str, counts)) and r["crossing"] == crossing
+
+
+def test_verdicts_of_quality_rules(spark, docs):
+    """The learned rules, tried in order by hand on statistics counted by hand."""
+    import unicodedata
+
+    table_of = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rules = quality.learn(stored(quality.training_rows(quality.statistics(table_of, keep=["doc_id"]), spark.read.parquet(f"{FOLDER}/labels.parquet")), "labelled"))
+    got = {r["doc_id"]: r for r in queries.queries()["op8_quality_rules"](spark, FOLDER).collect()}
+    for d in docs:
+        n, chars, symbols, dup, repeat = brute_stats(d["text"])
+        upper = sum(unicodedata.category(c) == "Lu" for c in d["text"] or "")
+        marks = sum(c in "!?" for c in d["text"] or "")
+        part = lambda a, b: a / b if b else 0.0
+        facts = {"words": float(n), "chars_a_word": part(chars, n), "symbols_a_word": part(symbols, n), "dup_lines_a_100_words": part(dup, n) * 100,
+                 "repeated": part(repeat, n), "capitals": part(upper, chars), "marks_a_word": part(marks, n)}
+        meets = lambda c: facts[c.name] > c.cut if c.above else facts[c.name] <= c.cut
+        first = next((i for i, rule in enumerate(rules, 1) if all(meets(c) for c in rule.conditions)), None)
+        failed = n < 50 or 100 * repeat > 50 * n
+        assert (got[d["doc_id"]]["rule"], got[d["doc_id"]]["kept"]) == (first, first is None and not failed)
+
+
 def test_quality(spark, docs):
     got = {r["doc_id"]: r for r in queries.queries()["op8_quality_rules"](spark, FOLDER).collect()}
     for d in docs:
