@@ -22,6 +22,11 @@ CHUNK = "__chunk"
 # Rows that a chunk has at most, equal values of the ordering column aside. A chunk's rows
 # of a few columns fit in the memory of a Python task.
 CHUNK_ROWS = 1_000_000
+# Size of the quantile sketch, whose ranks are then right to about an eighth of a percent, and the ranks that are asked of it.
+SKETCH_SIZE = 4096
+SKETCH_POINTS = 1024
+# Chunks up to which the sketch's error is an eighth of a chunk.
+SKETCH_CHUNKS = 100
 # Sampled rows per chunk; the depth of a chunk then varies by a few percent.
 SAMPLE_ROWS = 2_000
 
@@ -54,18 +59,27 @@ class Chunks:
 def plan_chunks(df: DataFrame, by: str, n: int | None = None, rows: int = CHUNK_ROWS) -> Chunks:
     """Choose equi-depth cut points so that a chunk has at most about `rows` rows.
 
-    This runs when it is called: a count, and unless one chunk will do, a pass over a sample of one
-    pruned column. Over a derived frame both run what it is derived from; give the operators the
+    This runs when it is called: one pass over one pruned column, which counts the rows and sketches the column's
+    quantiles. Only where more than SKETCH_CHUNKS chunks are needed, finer than the sketch tells, a second pass over a sample
+    follows. Over a derived frame the pass runs what it is derived from; give the operators the
     chunks of the source table's column instead. The number of chunks follows the rows and
     nothing else; `n` sets it outright.
     """
     pos = df.select(_position(df, by).alias("__pos"))
-    total = pos.count() if n is None else None
+    known = F.when(~F.isnan("__pos"), F.col("__pos"))
+    at = F.array(*[F.lit(i / SKETCH_POINTS) for i in range(1, SKETCH_POINTS)])
+    sketch = F.kll_sketch_agg_double(known, F.lit(SKETCH_SIZE))
+    found = pos.agg(
+        F.count(F.lit(1)).alias("total"), F.when(F.count(known) > 0, F.kll_sketch_get_quantile_double(sketch, at)).alias("points")
+    ).first()
+    total, points = found["total"], found["points"]
     if n is None:
-        n = -(-total * 5 // (4 * rows))  # a quarter more, for the error of the sample
-    if n <= 1:
+        n = -(-total * 5 // (4 * rows))  # a quarter more, for the error of the sketch or sample
+    if n <= 1 or points is None:
         return Chunks(by)
-    share = 1.0 if total is None else min(1.0, SAMPLE_ROWS * n / total)
+    if n <= SKETCH_CHUNKS:
+        return Chunks(by, tuple(sorted({points[max(1, round(i * SKETCH_POINTS / n)) - 1] for i in range(1, n)})))
+    share = min(1.0, SAMPLE_ROWS * n / total)
     sample = pos if share > 0.5 else pos.sample(share, seed=1)
     probs = [i / n for i in range(1, n)]
     return Chunks(by, tuple(sorted(set(sample.approxQuantile("__pos", probs, 1 / (8 * n))))))
@@ -206,20 +220,29 @@ def latest_n(df: DataFrame, keys: list[str], order: list[str], n: int, chunks: C
 
 
 def exact_percentiles(
-    df: DataFrame, keys: list[str], value: str | Column, wanted: dict[str, float], chunks: Chunks | None = None
+    df: DataFrame, keys: list[str], value: str | Column, wanted: dict[str, float], chunks: Chunks | None = None,
+    mean: str | None = None, rows: str | None = None,
 ) -> DataFrame:
     """Exact interpolated percentiles per key, without holding a key in one task.
 
+    With `mean` and `rows` (names) the mean of the known values and the number of rows are given too, from the counts that the
+    percentiles are found by, and keys without a known value are in the result, with nulls.
+
     Rows are counted per (key, value chunk); the counts tell which chunk holds
     each wanted rank, and only those chunks are ordered, as (value, count) pairs
     so that many equal values cost one row.
     """
-    data = df.select(*keys, col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    data = df.select(*keys, col(value).cast("double").alias("__v"))
     chunks = chunks or plan_chunks(data, "__v")
+    # Rows without a value only count; the last chunk is theirs where there are several.
     tagged = Chunks("__v", chunks.splits).tag(data)
     w = Window.partitionBy(*keys).orderBy(CHUNK)
+    grouped = tagged.groupBy(*keys, CHUNK).agg(
+        F.count("__v").alias("__n"), F.count(F.lit(1)).alias("__rows"), F.sum("__v").alias("__sum")
+    )
+    tagged = tagged.where(F.col("__v").isNotNull())
     counts = (
-        tagged.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("__n"))
+        grouped.where(F.col("__n") > 0)
         .withColumn("__upto", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("__total", F.sum("__n").over(Window.partitionBy(*keys)))
         .withColumn("__from", F.col("__upto") - F.col("__n"))
@@ -253,4 +276,10 @@ def exact_percentiles(
         part = F.max(F.when(F.col("__name") == name, F.col("__at") - F.col("__lo")))
         return (low + (high - low) * part).alias(name)
 
-    return hit.groupBy(*keys).agg(*[interpolated(n) for n in wanted])
+    out = hit.groupBy(*keys).agg(*[interpolated(n) for n in wanted])
+    if mean is None and rows is None:
+        return out
+    totals = grouped.groupBy(*keys).agg(
+        *([F.try_divide(F.sum("__sum"), F.sum("__n")).alias(mean)] if mean else []), *([F.sum("__rows").alias(rows)] if rows else [])
+    )
+    return same_keys(totals, out, keys)

@@ -42,10 +42,15 @@ def requests_per_model(df: DataFrame, model: str) -> DataFrame:
     return df.groupBy(model).agg(F.count(F.lit(1)).alias("requests"))
 
 
-def endpoint_latency(df: DataFrame, endpoint: str, latency: str, approximate: bool = False) -> DataFrame:
-    """Mean and percentiles of latency by endpoint."""
-    mean = df.groupBy(endpoint).agg(F.avg(latency).alias("mean_latency"), F.count(F.lit(1)).alias("requests"))
-    return same_keys(mean, latency_percentiles(df, [endpoint], latency, approximate=approximate), [endpoint])
+def endpoint_latency(df: DataFrame, endpoint: str, latency: str, approximate: bool = False, chunks: Chunks | None = None) -> DataFrame:
+    """Mean and percentiles of latency by endpoint, exact ones from the same counts as the mean."""
+    if not approximate:
+        found = exact_percentiles(df, [endpoint], latency, PERCENTILES, chunks, mean="mean_latency", rows="requests")
+        return found.select(endpoint, "mean_latency", "requests", *PERCENTILES)
+    return df.groupBy(endpoint).agg(
+        F.avg(latency).alias("mean_latency"), F.count(F.lit(1)).alias("requests"),
+        *[F.approx_percentile(latency, p).alias(n) for n, p in PERCENTILES.items()],
+    )
 
 
 def time_range_series(df: DataFrame, ts: str, time_range: str, aggs: dict[str, Column], now: Column | None = None) -> DataFrame:

@@ -118,3 +118,32 @@ def test_no_chunks_on_constant_order(spark):
     assert max(r["n"] for r in got.collect()) == 10
     assert Chunks("x").splits == ()
     assert pd.notna(got.count())
+
+
+@pytest.mark.parametrize("n", [1, 2, 33])
+def test_mean_and_rows_from_the_counts_of_percentiles(spark, n):
+    data = [("a", float(i % 13)) for i in range(200)] + [("a", None)] * 3 + [("none", None)] * 2 + [(None, 5.0)]
+    df = spark.createDataFrame(data, "key string, v double").repartition(3)
+    chunks = plan_chunks(df, "v", n)
+    out = exact_percentiles(df, ["key"], "v", {"p50": 0.5}, chunks, mean="m", rows="n")
+    got = {r["key"]: (None if r["m"] is None else round(r["m"], 9), r["n"], r["p50"]) for r in out.collect()}
+    known = [v for k, v in data if k == "a" and v is not None]
+    assert got == {"a": (round(sum(known) / 200, 9), 203, float(np.median(known))), "none": (None, 2, None), None: (5.0, 1, 5.0)}
+    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("Scan ExistingRDD") <= 2 and "ReusedExchange" in final  # counts, and the values of the chunks that hold the ranks
+
+
+def test_a_plan_is_one_job(spark):
+    df = spark.range(50_000).select((F.col("id") * 7 % 50_000).alias("x"))
+    spark.sparkContext.setJobGroup("plan-of-chunks", "")
+    try:
+        chunks = plan_chunks(df, "x", 50)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = sum(len(spark.sparkContext.statusTracker().getJobInfo(j).stageIds) for j in spark.sparkContext.statusTracker().getJobIdsForGroup("plan-of-chunks"))
+    assert stages <= 3  # partial sketches, and their merge
+    sizes = [r["count"] for r in chunks.tag(df).groupBy("__chunk").count().collect()]
+    assert len(sizes) == 50 and max(sizes) < 1500
+    assert plan_chunks(df.limit(0), "x", 5).splits == () == plan_chunks(df.select(F.lit(None).cast("double").alias("x")), "x", 5).splits
+    many = plan_chunks(df, "x", 400)
+    assert 380 <= len(many.splits) <= 399
