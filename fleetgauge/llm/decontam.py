@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from fleetgauge.llm import bytescan
 from fleetgauge.llm.common import named, others, packed, slices, stored, text_map, unpacked
@@ -254,7 +255,10 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item: s
     """
     names = {"n_words", "n_hit", "n_items", "items", "ranges", "contaminated"}
     keep = others(docs.columns, names) if keep is None else keep
-    whole = docs.select(packed(keep).alias("row"), named(text).cast("string").alias("text"))
+    # The text is carried once, beside the other columns.
+    once = text in keep and docs.schema[text].dataType == StringType()
+    rest = [c for c in keep if not (once and c == text)]
+    whole = docs.select(packed(rest).alias("row"), named(text).cast("string").alias("text"))
     source, ranges, found = whole, [], []
     blocks = _blocks(items, item, item_text, window, block_words)
     block = next(blocks, _EMPTY)
@@ -263,7 +267,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item: s
         tokens = _tokens(block, shingle)
         index = _index(block, tokens, rarity(whole, "text", tokens), shingle)
         n = len(ranges)
-        source = _scan(source, "text", ["row", *(["text"] if later else []), *ranges, *found], index)
+        source = _scan(source, "text", ["row", *(["text"] if later or once else []), *ranges, *found], index)
         ranges, found = [*ranges, f"__ranges{n}"], [*found, f"__items{n}"]
         source = source.withColumnsRenamed({"__ranges": ranges[-1], "__items": found[-1]})
         if later:
@@ -271,9 +275,10 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item: s
         block = later
     merged = F.sort_array(F.concat(*ranges)) if len(ranges) > 1 else F.col(ranges[0])
     every = F.sort_array(F.array_distinct(F.concat(*found)))
-    hit = source.select("row", "__n", merged.alias("__merged"), every.alias("__every")).withColumn("__hit", _union_length(F.col("__merged")))
+    back = dict(zip(rest, unpacked("row", rest), strict=True)) | ({text: F.col("text").alias(text)} if once else {})
+    hit = source.select("row", *(["text"] if once else []), "__n", merged.alias("__merged"), every.alias("__every")).withColumn("__hit", _union_length(F.col("__merged")))
     return hit.select(
-        *unpacked("row", keep), F.col("__n").alias("n_words"), F.col("__hit").alias("n_hit"), F.size("__every").cast("bigint").alias("n_items"),
+        *[back[c] for c in keep], F.col("__n").alias("n_words"), F.col("__hit").alias("n_hit"), F.size("__every").cast("bigint").alias("n_items"),
         F.col("__every").alias("items"), F.col("__merged").alias("ranges"),
         ((F.col("__hit") > 0) & (F.lit(20) * F.col("__hit") >= F.col("__n"))).alias("contaminated"),
     )

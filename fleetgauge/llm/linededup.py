@@ -74,13 +74,16 @@ def drop_repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id"
         .groupBy("__id", "__of").agg(F.sort_array(F.collect_set("__pos")).alias("__drop"))
     )
     plain = others(docs.columns, ("n_lines", "n_dropped", "kept_text"))
-    rows = docs.select(packed(plain).alias("row"), named(key).alias("id"), F.xxhash64(named(text)).alias("of"), named(text).alias("text"))
+    # The text is carried once, beside the other columns.
+    rest = [c for c in plain if c != text]
+    rows = docs.select(packed(rest).alias("row"), named(key).alias("id"), F.xxhash64(named(text)).alias("of"), named(text).alias("text"))
     joined = rows.join(drops, (F.col("id") == F.col("__id")) & (F.col("of") == F.col("__of")), "left")
     cut = joined.select("row", "text", "__drop", split_lines(F.col("text")).alias("lines"))
     made = cut.select(
-        "row", F.size("lines").cast("bigint").alias("n_lines"),
+        "row", "text", F.size("lines").cast("bigint").alias("n_lines"),
         F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")).cast("bigint").alias("n_dropped"),
         F.when(F.col("__drop").isNull(), F.coalesce(F.col("text"), F.lit("")))
         .otherwise(F.array_join(_without(F.col("lines"), F.col("__drop")), "\n")).alias("kept_text"),
     )
-    return made.select(*unpacked("row", plain), "n_lines", "n_dropped", "kept_text")
+    back = dict(zip(rest, unpacked("row", rest), strict=True)) | {text: F.col("text").alias(text)}
+    return made.select(*[back[c] for c in plain], "n_lines", "n_dropped", "kept_text")
