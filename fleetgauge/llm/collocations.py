@@ -155,11 +155,20 @@ def _merged(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return key[first], np.add.reduceat(count, first) if len(key) else count
 
 
+def _pack(key: np.ndarray) -> bytes:
+    """Sorted 32-bit keys as differences, lowest bytes first, so that the shuffle's compression finds the zeros above."""
+    return np.diff(key, prepend=key.dtype.type(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view(np.uint32).reshape(-1), dtype=np.uint32)
+
+
 # First pass: summaries ----------------------------------------------------------------------------------------
 
 
 def _task_summaries(partitions: int, longest: int):
-    """Rows (p, mass, once, more, counts): what a task read of partition p, as sorted 32-bit hashes.
+    """Rows (p, mass, once, more, counts): what a task read of partition p, as packed 32-bit hashes.
 
     `once` are phrases met once, `more` the others, with their counts. A summary of a task never holds more phrases than
     their occurrences, which is less than a whole partition's capacity needs, so nothing is taken from it.
@@ -178,7 +187,7 @@ def _task_summaries(partitions: int, longest: int):
             own, many = rest[edges[p] : edges[p + 1]], count[edges[p] : edges[p + 1]]
             own, many = _merged(own, many)  # the lower halves may repeat
             one = many == 1
-            for column, value in zip(columns, (p, int(many.sum()), own[one].tobytes(), own[~one].tobytes(), many[~one].tobytes()), strict=True):
+            for column, value in zip(columns, (p, int(many.sum()), _pack(own[one]), _pack(own[~one]), many[~one].tobytes()), strict=True):
                 column.append(value)
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["p", "mass", "once", "more", "counts"])
@@ -227,8 +236,8 @@ def _survivors(least: int, bits: int):
     def run(rows: pa.Table) -> pa.Table:
         parts = []
         for once, more, counts in zip(*[rows.column(c).to_pylist() for c in ("once", "more", "counts")], strict=True):
-            one = np.frombuffer(once, np.uint32)
-            parts.append((np.concatenate([one, np.frombuffer(more, np.uint32)]), np.concatenate([np.ones(len(one), np.int64), np.frombuffer(counts, np.int64)])))
+            one = _unpack(once)
+            parts.append((np.concatenate([one, _unpack(more)]), np.concatenate([np.ones(len(one), np.int64), np.frombuffer(counts, np.int64)])))
         mass = sum(rows.column("mass").to_pylist())
         key, count, taken = merge_summaries(parts, SPARE * (mass // least))
         key = key[count + taken >= least]
@@ -290,7 +299,7 @@ def frequent_phrases(
     lies within one piece of text, and overlapping occurrences count.
 
     `mass` bounds what a merging task holds; the number of hash partitions follows from the bytes of the texts.
-    Summaries are shuffled as 4 bytes a distinct phrase of a task. The filter has a fixed size; if so many phrases survive that
+    Summaries are shuffled as 4 bytes a distinct phrase of a task, before compression. The filter has a fixed size; if so many phrases survive that
     it fills up, it lets more through that the second pass counts in vain, but loses none.
     """
     spark = docs.sparkSession
@@ -349,10 +358,17 @@ def collocations(
     scored = cuts.withColumn("score", F.expr("x div y")).groupBy("lang", "phrase", "a").agg(
         F.min(F.struct("score", "k", "l", "r")).alias("lowest")
     ).select("lang", "phrase", "a", "lowest.l", "lowest.r", "lowest.score")
+    if top is not None:
+        # Counts per band of the score, a hundredth wide, tell where the last of the top lies: what is below isn't ranked.
+        scored = stored(scored.withColumn("band", F.floor(F.log2(F.col("score") + 1) * 64)), "scored")
+        above = Window.partitionBy("lang").orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
+        bands = scored.groupBy("lang", "band").agg(F.count("*").alias("held")).withColumn("before", F.coalesce(F.sum("held").over(above), F.lit(0)))
+        lowest = bands.where(F.col("before") < top).groupBy("lang").agg(F.min("band").alias("lowest"))
+        scored = scored.join(lowest, "lang").where(F.col("band") >= F.col("lowest"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    if top is None:
-        ranked = scored.withColumn("rank", F.row_number().over(order).cast("bigint"))
-    else:
-        ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).withColumn("rank", F.col("rank").cast("bigint"))
+    ranked = scored.withColumn("rank", F.row_number().over(order))
+    if top is not None:
+        ranked = ranked.where(F.col("rank") <= top)
+    ranked = ranked.withColumn("rank", F.col("rank").cast("bigint"))
     words = counted.where("size = 0").select("lang", "n")
     return ranked.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
