@@ -40,7 +40,9 @@ MASS = 8 << 20
 #: from the counters, so that fewer phrases survive which aren't frequent.
 SPARE = 4
 #: Bits of the filter between the passes, whatever the size of the data: it is sent to all tasks.
-FILTER_BITS = 1 << 27
+FILTER_BITS = 1 << 28
+#: Bits that a phrase sets: with few of them filled, three let next to nothing else through.
+PROBES = 3
 #: Bytes of text read at a time, words whose phrases are counted at a time, and phrases that a task gathers before it sends them.
 SLICE = 1 << 20
 BLOCK = 1 << 18
@@ -226,8 +228,10 @@ def merge_summaries(parts: list[tuple[np.ndarray, np.ndarray]], capacity: int) -
     return key, count, taken
 
 
-def _filter_bits(rest: np.ndarray, bits: int) -> np.ndarray:
-    return ((bytescan.mix(rest.astype(np.uint64)) >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)
+def _filter_bits(rest: np.ndarray, bits: int, probe: int) -> np.ndarray:
+    """The place of each phrase among the filter's bits of its partition, for one of its probes."""
+    mixed = bytescan.mix(rest.astype(np.uint64) + np.uint64(probe << 32))
+    return ((mixed >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)
 
 
 def _survivors(least: int, bits: int):
@@ -242,7 +246,8 @@ def _survivors(least: int, bits: int):
         key, count, taken = merge_summaries(parts, SPARE * (mass // least))
         key = key[count + taken >= least]
         held = np.zeros(bits, np.uint8)
-        held[_filter_bits(key, bits).astype(np.int64)] = 1
+        for probe in range(PROBES):
+            held[_filter_bits(key, bits, probe).astype(np.int64)] = 1
         return pa.table({
             "p": pa.array([rows.column("p")[0].as_py()], pa.int64()), "mass": pa.array([mass], pa.int64()),
             "survivors": pa.array([len(key)], pa.int64()), "taken": pa.array([taken], pa.int64()), "bits": pa.array([np.packbits(held).tobytes()], pa.binary()),
@@ -272,8 +277,10 @@ def _counts(partitions: int, longest: int, shared):
                 for g in grams(found, lang_hash, longest):
                     size = g.words.shape[1]
                     part = ((g.hash >> np.uint64(32)) * np.uint64(partitions)) >> np.uint64(32)
-                    bit = part * np.uint64(share) + _filter_bits(g.hash.astype(np.uint32), share)
-                    hit = np.flatnonzero((filled[bit >> np.uint64(3)] >> (7 - (bit & np.uint64(7))).astype(np.uint8)) & 1)
+                    hit = np.arange(len(part))
+                    for probe in range(PROBES):
+                        bit = part[hit] * np.uint64(share) + _filter_bits(g.hash[hit].astype(np.uint32), share, probe)
+                        hit = hit[((filled[bit >> np.uint64(3)] >> (7 - (bit & np.uint64(7))).astype(np.uint8)) & 1).astype(bool)]
                     phrase = pc.binary_join_element_wise(*[found.words.take(pa.array(g.words[hit, k])) for k in range(size)], pa.scalar(" ", pa.large_string()))
                     yield _rows(langs.take(pa.array(g.lang[hit])), size, phrase, g.count[hit])
                     if size == 1:
@@ -359,8 +366,10 @@ def collocations(
         F.min(F.struct("score", "k", "l", "r")).alias("lowest")
     ).select("lang", "phrase", "a", "lowest.l", "lowest.r", "lowest.score")
     if top is not None:
-        # Counts per band of the score, a hundredth wide, tell where the last of the top lies: what is below isn't ranked.
-        scored = stored(scored.withColumn("band", F.floor(F.log2(F.col("score") + 1) * 64)), "scored")
+        # Counts per band of the score, a hundredth wide, tell where the last of the top lies: what is below isn't ranked. Phrases
+        # whose words never occur apart all have the highest score; they go by bands of their occurrences.
+        always = F.when(F.col("score") == 1_000_000, F.floor(F.log2("a") * 64)).otherwise(0)
+        scored = stored(scored.withColumn("band", F.floor(F.log2(F.col("score") + 1) * 64) * 4096 + always), "scored")
         above = Window.partitionBy("lang").orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
         bands = scored.groupBy("lang", "band").agg(F.count("*").alias("held")).withColumn("before", F.coalesce(F.sum("held").over(above), F.lit(0)))
         lowest = bands.where(F.col("before") < top).groupBy("lang").agg(F.min("band").alias("lowest"))
