@@ -13,19 +13,21 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
 from fleetgauge.llm.common import others, text_map
 
 MARK = "▁"
-_CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
-#: Entries of a task's table of chunks; it is emptied when full.
-TABLE_ENTRIES = 100_000
+#: Entries of a task's table of chunks; when full, it keeps those that the texts at hand hold.
+TABLE_ENTRIES = 200_000
 #: Bytes of text whose chunks are looked up together.
 SLICE = 1 << 20
 #: Longer chunks are segmented each time, so that the table stays small in bytes.
@@ -49,7 +51,7 @@ class Segmenter:
         self.mark = self.model.piece_to_id(MARK)
         if bad or self.mark == self.model.unk_id() or not self._keeps(f"a ⅣＡ  b\n{MARK}"):
             raise ValueError("the model has pieces across markers or changes its input; its chunks are not independent")
-        self.table: dict[str, tuple[list[int], str]] = {}
+        self.table: dict[str, bytes] = {}
 
     def _keeps(self, text: str) -> bool:
         """The pieces spell the marked text, byte pieces included, without normalisation."""
@@ -58,32 +60,47 @@ class Segmenter:
         return data.decode() == MARK + text.replace(" ", MARK)
 
     def _segment(self, chunks: list[str]) -> list[list[int]]:
-        # The library puts a marker in front of what it gets: it stands for the first marker of a
+        # The library puts a marker in front of what it gets: it stands for the first blank of a
         # chunk, and is taken off again from a chunk that begins with a newline.
-        found = self.model.encode([c[1:] if c[0] == MARK else c for c in chunks], num_threads=1)
+        found = self.model.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
         return [ids[1:] if c[0] == "\n" else ids or [self.mark] for c, ids in zip(chunks, found, strict=True)]
 
-    def chunks(self, text: str) -> list[str]:
-        return _CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
-
-    def look_up(self, chunks: list[list[str]]) -> dict[str, tuple[list[int], str]]:
-        """Ids, and the ids as text, of every chunk that occurs."""
-        distinct = set().union(*chunks)
-        if len(self.table) + len(distinct) > TABLE_ENTRIES:
-            self.table = {}
+    def chunks(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The chunks of all texts, with blanks for markers, and the number of the first chunk of each text and of the end."""
+        plain = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), MARK, " ")
+        space, none = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+        marked = pc.if_else(pc.equal(plain, none), none, pc.binary_join_element_wise(space, plain, none))
+        begin = np.frombuffer(marked.buffers()[1], np.int64)[marked.offset : marked.offset + len(marked) + 1]
+        data = np.frombuffer(marked.buffers()[2] or b"", np.uint8)[begin[0] : begin[-1]]
+        begin = begin - begin[0]
+        blank = data == 32
+        start = blank.copy()
+        start[1:] &= ~blank[:-1]
+        start |= data == 10
+        start[begin[:-1][np.diff(begin) > 0]] = True
+        at = np.append(np.flatnonzero(start), len(data))
+        found = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data))
+        return found, np.searchsorted(at, begin)
+
+    def look_up(self, distinct: list[str]) -> list[bytes]:
+        """The ids of each chunk, as the bytes of 32-bit numbers."""
         new = [c for c in distinct if c not in self.table]
-        found = {}
-        for c, ids in zip(new, self._segment(new), strict=True):
-            found[c] = (ids, ",".join(map(str, ids)))
-        if len(new) + len(self.table) <= TABLE_ENTRIES:
-            short = {c: v for c, v in found.items() if len(c) <= TABLE_CHARS}
-            self.table |= short
-        return {c: found.get(c) or self.table[c] for c in distinct}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        split = [self.chunks(t) for t in texts]
-        known = self.look_up(split)
-        return [list(chain.from_iterable([known[c][0] for c in s])) for s in split]
+        found = {c: array("i", ids).tobytes() for c, ids in zip(new, self._segment(new), strict=True)}
+        known = [found[c] if c in found else self.table[c] for c in distinct]
+        if len(self.table) + len(new) > TABLE_ENTRIES:
+            self.table = {c: ids for c, ids in zip(distinct, known, strict=True) if c in self.table}
+        if len(self.table) + len(new) <= TABLE_ENTRIES:
+            self.table |= {c: ids for c, ids in found.items() if len(c) <= TABLE_CHARS}
+        return known
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where those of each text begin and the last ones end."""
+        chunks, first = self.chunks(texts)
+        coded = chunks.dictionary_encode()
+        known = self.look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ends = np.cumsum([0, *map(len, known)]) // 4
+        joined = pa.LargeListArray.from_arrays(ends, np.frombuffer(b"".join(known), np.int32)).take(coded.indices)
+        return joined.values.to_numpy(), joined.offsets.to_numpy()[first]
 
 
 @functools.lru_cache(maxsize=2)
@@ -100,7 +117,8 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", ke
     keep = others(docs.columns, (text, ids)) if keep is None else keep
 
     def function(texts: pa.Array) -> list[pa.Array]:
-        return [pa.array(segmenter(model).encode([t or "" for t in texts.to_pylist()]), pa.list_(pa.int32()))]
+        found, begin = segmenter(model).encode(texts)
+        return [pa.ListArray.from_arrays(begin.astype(np.int32), found)]
 
     return text_map(docs, text, keep, f"`{ids}` array<int>", function, SLICE)
 
@@ -135,16 +153,14 @@ def round_trip(docs: DataFrame, model: str, text: str = "text", keep: list[str]
 
     def function(texts: pa.Array) -> list[pa.Array]:
         own = segmenter(model)
-        split = [own.chunks(t or "") for t in texts.to_pylist()]
-        known = own.look_up(split)
-        counts, ids_sha, text_sha = [], [], []
-        for s in split:
-            found = [known[c] for c in s]
-            ids = list(chain.from_iterable([f[0] for f in found]))
-            counts.append(len(ids))
-            ids_sha.append(hashlib.sha256(",".join([f[1] for f in found]).encode()).hexdigest())
-            text_sha.append(hashlib.sha256((own.model.decode(ids) if ids else "").encode()).hexdigest())
-        return [pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+        ids, begin = own.encode(texts)
+        numbers = pa.LargeListArray.from_arrays(begin, pa.array(ids).cast(pa.large_string()))
+        joined = pc.binary_join(numbers, pa.scalar(",", pa.large_string()))
+        ids_sha = [hashlib.sha256(x.as_buffer()).hexdigest() for x in joined]
+        text_sha = []
+        for a, b in pairwise(begin.tolist()):
+            text_sha.append(hashlib.sha256((own.model.decode(ids[a:b].tolist()) if a < b else "").encode()).hexdigest())
+        return [pa.array(np.diff(begin), pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
 
     return text_map(docs, text, keep, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", function, SLICE)
 

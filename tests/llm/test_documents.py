@@ -256,6 +256,26 @@ def test_pieces_edges(spark):
     assert got[0] == got[1] and (None, []) in [tuple(r) for r in got]
 
 
+def test_pieces_keep_common_chunks(monkeypatch):
+    """A chunk that every slice holds is segmented once, also when the table is full again and again."""
+    path = pieces.model_path()
+    own, asked = pieces.segmenter(path), []
+    segment = own._segment
+    monkeypatch.setattr(pieces, "TABLE_ENTRIES", 250)
+    monkeypatch.setattr(pieces, "text_map", lambda docs, text, keep, fields, function, limit: function)
+    monkeypatch.setattr(own, "table", {})
+    monkeypatch.setattr(own, "_segment", lambda chunks: asked.extend(chunks) or segment(chunks))
+    trip = pieces.round_trip(None, path, keep=[])
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for k in range(10):
+        text = " ".join([*[f"common{i}" for i in range(100)], *[f"own{k}x{i}" for i in range(60)]])
+        ids = own.model.encode(text)
+        assert [c.to_pylist() for c in trip(pa.array([None, text, ""]))] == [
+            [0, len(ids), 0], [digest(""), digest(",".join(map(str, ids))), digest("")], [digest(""), digest(own.model.decode(ids)), digest("")]
+        ]
+    assert len(asked) == 100 + 10 * 60
+
+
 # Language ----------------------------------------------------------------------------------------------------
 
 
